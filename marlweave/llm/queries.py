@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, sharding, topk
+from . import block_dedup, packing, sharding, suffix_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op4_block_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = block_dedup.dedup_words(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT doc_id, i, md5(array_to_string(list_slice(a, i, i + 34), ' ')) AS h
+      FROM (SELECT doc_id, a, unnest(range(1, len(a) - 33)) AS i FROM w WHERE len(a) >= 35)),
+d AS (SELECT h FROM s GROUP BY h HAVING count(*) > 1),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(i, i + 35)))) AS gone FROM s WHERE h IN (SELECT h FROM d) GROUP BY doc_id),
+k AS (SELECT w.doc_id, len(a) AS n_words, coalesce(len(gone), 0) AS n_removed,
+             list_filter(a, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+      FROM w LEFT JOIN g USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -46,6 +71,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_topk": op3_topk,
+    "op4_block_dedup": op4_block_dedup,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_block_dedup": OP4_SQL}
