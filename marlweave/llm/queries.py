@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, packing, sharding, suffix_dedup, topk
+from . import block_dedup, langid, packing, sharding, suffix_dedup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = langid.identify(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", langid.held_out("doc_id", 5).alias("held_out"), F.col("language.pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.cross_entropy").alias("cross_entropy"), F.col("language.accepted").alias("accepted"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_block_dedup": op4_block_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_language": op7_language,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_block_dedup": OP4_SQL}
