@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import block_dedup, langid, packing, sharding, suffix_dedup, topk
+from . import block_dedup, langid, packing, secrets, sharding, suffix_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,11 +63,37 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    line = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
+    return done.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("secrets", line), ",").alias("spans"),
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = langid.identify(table(spark, sf_dir, "documents"))
     return done.select("doc_id", langid.held_out("doc_id", 5).alias("held_out"), F.col("language.pred").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.cross_entropy").alias("cross_entropy"), F.col("language.accepted").alias("accepted"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return done.select(
+        "doc_id",
+        toxicity.held_out("doc_id").alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        F.col("toxicity.predicted").alias("predicted"),
+        F.array_join(F.transform("toxicity.evidence", lambda e: F.concat_ws(":", e["example"].cast("string"), e["label"].cast("string"))), ",").alias("evidence"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -78,7 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op4_block_dedup": op4_block_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_secrets": op6_secrets,
     "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {"op3_topk": OP3_SQL, "op4_block_dedup": OP4_SQL}
