@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U64, blocks, join_runs, mix, prefix_hash, ranges, sliding_min, span_hash, staged, symbol_table, text_key, utf8, whole_text, window_hash
 
@@ -229,17 +230,18 @@ def repeated(
     most_kinds: int,
     block: int = 1 << 19,
     bucket: int = 4 << 20,
-) -> tuple[DataFrame, DataFrame]:
-    """Texts (tid, text), each once, and their repeated spans (tid, spans); docs: tid, text."""
+) -> DataFrame:
+    """The repeated spans (tid, spans) of each text that has any; docs: doc_id, text, tid."""
     found = staged(docs.select("tid", "text").mapInArrow(list_anchors(unit, width, gram, block), "h long, context long, tid binary, place int"), "anchors")
     count = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
     again = staged(found.join(count.select("h", (F.col("low") == F.col("high")).alias("same")), "h"), "repeated-anchors")
 
-    texts = docs.groupBy("tid").agg(F.first("text").alias("text"))
     mixed = again.where("NOT same")
     kinds = mixed.groupBy("h", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "place")).alias("at"))
     asked = kinds.groupBy(F.col("at.tid").alias("tid")).agg(F.collect_list(F.struct(F.col("at.place").alias("place"), "h", "context", "n")).alias("asked"))
-    sent = texts.join(asked, "tid").select("text", "asked").mapInArrow(send_contexts(unit, width, gram), CONTEXTS)
+    # one row of each text sends its contexts
+    asked = asked.join(docs.groupBy("tid").agg(F.min("doc_id").alias("first")), "tid")
+    sent = docs.join(asked, "tid").where(F.col("doc_id").eqNullSafe(F.col("first"))).select("text", "asked").mapInArrow(send_contexts(unit, width, gram), CONTEXTS)
 
     hot = kinds.groupBy("h").count().where(F.col("count") > most_kinds).select("h")
     if hot.take(1):
@@ -254,8 +256,7 @@ def repeated(
     inner = mixed.join(marks, ["h", "context"]).select("tid", F.explode(F.transform("marks", lambda m: F.struct((F.col("place") + m["begin"]).alias("begin"), (F.col("place") + m["end"]).alias("end")))).alias("span"))
     # all that windows with this anchor can cover; the end is cut to the text's later
     outer = again.where("same").select("tid", F.struct(F.greatest(F.col("place") - (width - gram), F.lit(0)).alias("begin"), (F.col("place") + width).alias("end")).alias("span"))
-    spans = inner.unionByName(outer).groupBy("tid").agg(F.collect_set("span").alias("spans"))
-    return texts, spans
+    return inner.unionByName(outer).groupBy("tid").agg(F.collect_set("span").alias("spans"))
 
 
 def cut(unit: Unit):
@@ -283,14 +284,15 @@ def cut(unit: Unit):
                 rows.append((n, int((end - begin).sum()), out, unit.glue.join(kept)))
             n, removed, spans, kept = zip(*rows) if rows else ((),) * 4
             span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["tid", "n", "removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["doc_id", "n", "removed", "spans", "kept"])
 
     return run
 
 
 def remove_repeats(df: DataFrame, id_column: str, text_column: str, unit: Unit, resolve: Callable, width: int, gram: int, most_kinds: int) -> DataFrame:
     """doc_id, n, removed, spans, kept of every row."""
-    docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text")))
-    texts, spans = repeated(docs, unit, resolve, width, gram, most_kinds)
-    done = texts.join(spans, "tid", "left").select("tid", "text", "spans").mapInArrow(cut(unit), "tid binary, n long, removed long, spans array<struct<begin:long,end:long>>, kept binary")
-    return docs.select("doc_id", "tid").join(done, "tid").select("doc_id", "n", "removed", "spans", "kept")
+    # both joins with the texts read the same exchange, so the condition on tid, which is never null, stands for both
+    docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text"))).where("tid IS NOT NULL")
+    spans = repeated(docs, unit, resolve, width, gram, most_kinds)
+    result = T.StructType([T.StructField("doc_id", df.schema[id_column].dataType), *T.StructType.fromDDL("n long, removed long, spans array<struct<begin:long,end:long>>, kept binary").fields])
+    return docs.join(spans, "tid", "left").select("doc_id", "text", "spans").mapInArrow(cut(unit), result)
