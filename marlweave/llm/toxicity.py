@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import U64, blocks, mix, utf8, whole_text
-from .langid import fold, ranges
+from .langid import fold
 
 STEP = U64(0x9E3779B97F4A7C15)
 RESULT = "score double, predicted int, similarity double, evidence array<struct<example:long,label:int,similarity:double>>"
@@ -51,73 +49,71 @@ def _places(starts: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Labelled examples as an inverted index of TF-IDF weights, each list cut into blocks with their maxima."""
+    """Labelled examples as an inverted index of TF-IDF weights over runs of examples, with their maxima.
+
+    ``lists[b]`` has a row for each term and a column for each example of block b;
+    ``most[t, b]`` is the largest weight of term t there.
+    """
 
     terms: np.ndarray  # sorted hashes of the chosen terms
     idf: np.ndarray
-    at: np.ndarray  # offset of each term's list
-    example: np.ndarray
-    weight: np.ndarray
-    block_at: np.ndarray  # offset of each term's blocks
-    block_end: np.ndarray  # last example of a block
-    block_max: np.ndarray
+    lists: list[np.ndarray]
+    most: np.ndarray
     label: np.ndarray
     who: np.ndarray
     k: int
+    block: int
     prior: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
-    def vectors(self, h: np.ndarray, text: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Terms and unit weights of each of n texts; texts without a chosen term have none."""
+    def vectors(self, h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The texts among n that hold a chosen term, and their unit vectors of weights."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros((0, 0))
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         known = self.terms[at] == h
         key, count = np.unique(text[known] * len(self.terms) + at[known], return_counts=True)
         doc, term = key // len(self.terms), key % len(self.terms)
-        w = (1 + np.log(count)) * self.idf[term]
-        norm = np.sqrt(np.bincount(doc, w * w, n))
-        w = w / norm[doc]
-        cuts = np.searchsorted(doc, np.arange(n + 1))
-        return [(term[a:b], w[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> list[tuple[float, int]]:
-        """The k examples of the highest cosine, exactly; ties go to the earlier example.
-
-        Document at a time over blocks: between two block ends the sum of the blocks' maxima
-        bounds every example's cosine, and the stretch is passed over if that bound is below
-        the k-th best so far.
+        rows, row = np.unique(doc, return_inverse=True)
+        out = np.zeros((len(rows), len(self.terms)))
+        out[row, term] = (1 + np.log(count)) * self.idf[term]
+        return rows, out / np.sqrt((out * out).sum(axis=1, keepdims=True))
+
+    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the k highest cosines of each vector, exactly, and the cosines; -1 and 0 where fewer are positive.
+
+        Cosines count to nine places; ties go to the earlier example. A vector's product with the
+        maxima of a block bounds its cosine with every example there. Blocks are taken by
+        falling bound, and a vector is done when the next bound is below its k-th best.
         """
-        spans = [(int(self.block_at[t]), int(self.block_at[t + 1]), int(self.at[t]), int(self.at[t + 1]), float(w)) for t, w in zip(term.tolist(), weight.tolist())]
-        spans = [s for s in spans if s[0] < s[1]]
-        if not spans:
-            return []
-        ends = np.unique(np.concatenate([self.block_end[a:b] for a, b, _, _, _ in spans]))
-        bound = np.zeros(len(ends))
-        for a, b, _, _, w in spans:
-            own = np.searchsorted(self.block_end[a:b], ends)
-            inside = own < b - a
-            bound[inside] += w * self.block_max[a:b][own[inside]]
-        best: list[tuple[float, int]] = []
-        low = -1.0
-        first = np.concatenate([[0], ends[:-1] + 1])
-        # stretches by bound, so that the rest can be left out as soon as one is too low
-        for s in np.argsort(-bound, kind="stable").tolist():
-            if len(best) == self.k and bound[s] < low - 1e-12:
+        n, many = len(vectors), len(self.label)
+        scale = 10**9
+        best = np.full((n, self.k), -1, np.int64)  # cosine times scale, then the example from behind
+        bound = vectors @ self.most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        live = np.arange(n)
+        for step in range(len(self.lists)):
+            block = order[live, step]
+            low = np.sort(best[live], axis=1)[:, 0] // max(1, many)
+            go = (bound[live, block] > 0) & ((bound[live, block] * scale).astype(np.int64) + 2 > low)
+            live, block = live[go], block[go]
+            if not len(live):
                 break
-            a, b = int(first[s]), int(ends[s])
-            score = np.zeros(b - a + 1)
-            for _, _, x, y, w in spans:
-                i, j = x + np.searchsorted(self.example[x:y], [a, b + 1])
-                score[self.example[i:j] - a] += w * self.weight[i:j]
-            hit = np.flatnonzero(score > max(0.0, low - 1e-12))
-            best = sorted([*best, *zip(score[hit].tolist(), (hit + a).tolist())], key=lambda p: (-round(p[0], 9), p[1]))[: self.k]
-            if len(best) == self.k:
-                low = best[-1][0]
-        return best
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+            for b in np.unique(block).tolist():
+                some = live[block == b]
+                score = np.rint(vectors[some] @ self.lists[b] * scale).astype(np.int64)
+                example = b * self.block + np.arange(score.shape[1])
+                key = np.where(score > 0, score * many + (many - 1 - example), -1)
+                both = np.concatenate([best[some], key], axis=1)
+                best[some] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
+        best = -np.sort(-best, axis=1)
+        found = best >= 0
+        return np.where(found, many - 1 - best % max(1, many), -1), np.where(found, best // max(1, many) / scale, 0.0)
+
+    def vote(self, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
         """The share of label 1 among the neighbours, weighted by closeness; the prior weighs a little."""
-        top = sum(s * s * self.label[e] for s, e in near)
-        return (top + 0.1 * self.prior) / (sum(s * s for s, _ in near) + 0.1)
+        near = cosine * cosine
+        return ((near * self.label[example]).sum(axis=1) + 0.1 * self.prior) / (near.sum(axis=1) + 0.1)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, *self.curve)
@@ -158,22 +154,17 @@ def build(rows: list[tuple[int, np.ndarray, np.ndarray, int]], terms: int, k: in
     chosen = chosen[chi[chosen] > 0]
     hashes = kinds[chosen]
     idf = np.log((1 + n) / (1 + df[chosen])) + 1
-    index = Index(hashes, idf, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0), label, np.array([r[0] for r in rows], np.int64), k, pos / max(1, n))
+    index = Index(hashes, idf, [], np.zeros((len(hashes), 0)), label, np.array([r[0] for r in rows], np.int64), k, block, pos / max(1, n))
     if not len(hashes):
         return index
-    per = index.vectors(np.repeat(every, np.concatenate([r[2] for r in rows])), np.repeat(owner, np.concatenate([r[2] for r in rows])), n)
-    term, example, weight = (np.concatenate(x) for x in zip(*[(t, np.full(len(t), e), w) for e, (t, w) in enumerate(per)]))
-    order = np.lexsort((example, term))
-    term, index.example, index.weight = term[order], example[order], weight[order]
-    index.at = np.searchsorted(term, np.arange(len(hashes) + 1))
-    ends, tops, at = [], [], [0]
-    for x, y in zip(index.at, index.at[1:]):
-        for i in range(x, y, block):
-            j = min(i + block, y)
-            ends.append(index.example[j - 1])
-            tops.append(index.weight[i:j].max())
-        at.append(len(ends))
-    index.block_at, index.block_end, index.block_max = np.array(at), np.array(ends, np.int64), np.array(tops)
+    count = np.concatenate([r[2] for r in rows])
+    at, vectors = index.vectors(np.repeat(every, count), np.repeat(owner, count), n)
+    # examples that share their strongest term stand together, so that blocks have tight maxima
+    order = np.lexsort((at, label[at], vectors.argmax(axis=1)))
+    at, vectors = at[order], vectors[order]
+    index.label, index.who = label[at], index.who[at]
+    index.lists = [np.ascontiguousarray(vectors[i : i + block].T) for i in range(0, len(at), block)]
+    index.most = np.stack([x.max(axis=1) for x in index.lists], axis=1)
     return index
 
 
@@ -186,11 +177,11 @@ def calibrate(index: Index, rows: list[tuple[int, np.ndarray, np.ndarray, int]],
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     count = np.concatenate([r[2] for r in rows])
     every = np.concatenate([r[1] for r in rows])
-    per = index.vectors(np.repeat(every, count), np.repeat(owner, count), len(rows)) if len(index.terms) else [((), ())] * len(rows)
-    raw = np.array([index.vote(index.nearest(t, w)) if len(t) else np.nan for t, w in per])
-    none = np.isnan(raw)
-    if not none.all():
-        index.curve = isotonic(raw[~none], label[~none].astype(float), weight[~none])
+    at, vectors = index.vectors(np.repeat(every, count), np.repeat(owner, count), len(rows))
+    none = np.ones(len(rows), bool)
+    none[at] = False
+    if len(at):
+        index.curve = isotonic(index.vote(*index.nearest(vectors)), label[at].astype(float), weight[at])
     index.prior = float((label * weight)[none].sum() / weight[none].sum()) if none.any() else share
 
 
@@ -266,13 +257,14 @@ def score(df: DataFrame, labels: DataFrame | None = None, index: Index | None =
             for a, b in blocks(offsets, 1 << 20) if len(model.terms) else ():
                 own = offsets[a : b + 1]
                 h, text = words(data[own[0] : own[-1]], own - own[0])
-                for i, (t, w) in enumerate(model.vectors(h, text, b - a)):
-                    if not len(t):
-                        continue
-                    near = model.nearest(t, w)
-                    value[a + i] = model.calibrated(np.array([model.vote(near)]))[0]
-                    top[a + i] = min(1.0, near[0][0]) if near else 0.0
-                    evidence[a + i] = [{"example": int(model.who[e]), "label": int(model.label[e]), "similarity": float(s)} for s, e in near[:shown]]
+                rows, vectors = model.vectors(h, text, b - a)
+                if not len(rows):
+                    continue
+                example, cosine = model.nearest(vectors)
+                value[a + rows] = model.calibrated(model.vote(example, cosine))
+                top[a + rows] = cosine[:, 0]
+                for i, e, s in zip((a + rows).tolist(), example[:, :shown].tolist(), cosine[:, :shown].tolist()):
+                    evidence[i] = [{"example": int(model.who[x]), "label": int(model.label[x]), "similarity": y} for x, y in zip(e, s) if x >= 0]
             result = pa.StructArray.from_arrays([pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(top), pa.array(evidence, pa.list_(item))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, out])
 

@@ -16,19 +16,16 @@ def test_nearest_against_brute_force():
         rows.append((i, h.astype(np.uint64), n.astype(np.int64), y))
     index = toxicity.build(rows, 64, 7, 4)
     assert len(index.terms) > 10
-    dense = np.zeros((300, len(index.terms)))
-    for t in range(len(index.terms)):
-        dense[index.example[index.at[t] : index.at[t + 1]], t] = index.weight[index.at[t] : index.at[t + 1]]
-    for _ in range(60):
-        h = r.choice(np.arange(1, 90), 20).astype(np.uint64)
-        ((t, w),) = index.vectors(h, np.zeros(20, np.int64), 1)
-        q = np.zeros(len(index.terms))
-        q[t] = w
-        cosine = dense @ q
-        got = index.nearest(t, w)
-        want = np.sort(cosine)[::-1][:7]
-        want = want[want > 0]
-        assert np.allclose([s for s, _ in got], want) and all(np.isclose(cosine[e], s) for s, e in got)
+    dense = np.concatenate([x.T for x in index.lists])
+    for _ in range(20):
+        h = r.choice(np.arange(1, 90), 200).astype(np.uint64)
+        rows, vectors = index.vectors(h, np.repeat(np.arange(10), 20), 10)
+        example, cosine = index.nearest(vectors)
+        for v, e, c in zip(vectors, example, cosine):
+            full = np.rint(dense @ v * 10**9) / 10**9
+            want = np.lexsort((np.arange(len(full)), -full))[:7]
+            want = want[full[want] > 0]
+            assert e[e >= 0].tolist() == want.tolist() and np.allclose(c[e >= 0], full[want])
 
 
 def test_held_out_quality(spark):
