@@ -27,6 +27,7 @@ class Side:
 
     def __init__(self, prefix: np.ndarray, data: np.ndarray, place: np.ndarray, length: np.ndarray, backward: bool) -> None:
         self.prefix, self.data, self.place, self.length, self.backward = prefix, data, place, length, backward
+        self.head: np.ndarray | None = None
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         x, y = self.place[a], self.place[b]
@@ -40,9 +41,25 @@ class Side:
         inside = n < self.length[a]
         return np.where(inside, self.data[np.where(inside, at, 0)].astype(np.int64), -1)
 
+    def heads(self) -> np.ndarray:
+        """The first seven bytes of each and how many there are, as a number that sorts like them."""
+        out = np.zeros(len(self.place), np.int64)
+        for k in range(7):
+            inside = k < self.length
+            at = self.place - k - 1 if self.backward else self.place + k
+            out = (out << 8) | np.where(inside, self.data[np.where(inside, at, 0)].astype(np.int64), 0)
+        return (out << 3) | np.minimum(self.length, 7)
+
     def compare(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        n = self.common(a, b)
-        return self.unit(a, n) - self.unit(b, n)
+        if self.head is None:
+            self.head = self.heads()
+        out = self.head[a] - self.head[b]
+        alike = np.flatnonzero(out == 0)
+        if len(alike):
+            a, b = a[alike], b[alike]
+            n = self.common(a, b)
+            out[alike] = self.unit(a, n) - self.unit(b, n)
+        return out
 
 
 def merge_sort(side: Side, group: np.ndarray) -> np.ndarray:
@@ -102,6 +119,21 @@ def smaller(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(before, np.int64), np.array(past, np.int64)
 
 
+def classes(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A member of each class of equal keys, in order of the keys, and the class of every row."""
+    n = len(keys[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(n, bool)
+    new[0] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(new) - 1
+    return order[new], out
+
+
 def depths(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All distinct lengths that the i-th in order has in common with any other of its group."""
     before, past = smaller(adjacent)
@@ -120,10 +152,11 @@ def depths(adjacent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out_who), np.concatenate(out_depth)) if out_who else (who, who)
 
 
-def resolver(width: int):
+def resolver(width: int, gram: int):
     """Maximal repeats of at least ``width`` bytes among the contexts of a group.
 
-    The contexts are sorted by what precedes the anchor, read backwards; the lengths that a
+    Contexts that share neither of two halves around the anchor have no repeat. The others
+    are sorted by what precedes the anchor, read backwards; the lengths that a
     context has in common with any other there are the values on its way up the tree of common
     lengths. Each such length is a place where a repeat can start, and all maximal repeats start
     at one. The suffixes from these places are sorted; a suffix's longest common extension
@@ -136,38 +169,59 @@ def resolver(width: int):
         prefix = prefix_hash(symbol_table(seed)[x.data])
         size = np.diff(x.at)
         anchor = x.at[:-1] + x.left
-        backward = Side(prefix, x.data, anchor, x.left, True)
-        order = merge_sort(backward, x.group)
-        at, depth = depths(neighbours(backward, order, x.group))
-        who = order[at]
-        start, length = anchor[who] - depth, size[who] - x.left[who] + depth
+        right = size - x.left
+        # a window has half of what it holds besides the anchor on one of its sides
+        side = (width - gram) // 2
+        lived = np.zeros(len(size), bool)
+        for begin, length in ((anchor - side, side + gram), (anchor, width - side - 1)):
+            able = np.flatnonzero((begin >= x.at[:-1]) & (begin + length <= x.at[1:]))
+            _, kind = classes(x.group[able], span_hash(prefix, begin[able], np.full(len(able), length)))
+            lived[able[np.bincount(kind, minlength=1)[kind] > 1]] = True
+        live = np.flatnonzero(lived)
+        if not len(live):
+            return live, live, live
+        # contexts with the same before the anchor are sorted once
+        one, kind = classes(x.group[live], x.left[live], span_hash(prefix, anchor[live] - x.left[live], x.left[live]))
+        first = live[one]
+        backward = Side(prefix, x.data, anchor[first], x.left[first], True)
+        order = merge_sort(backward, x.group[first])
+        at, depth = depths(neighbours(backward, order, x.group[first]))
+        at = order[at]
+        many = np.bincount(kind, minlength=len(first))
+        twins = np.flatnonzero(many > 1)
+        at, depth = np.concatenate([at, twins]), np.concatenate([depth, x.left[first[twins]]])
+        # every place where a repeat can start, for every context
+        members = np.argsort(kind, kind="stable")
+        start_of = np.cumsum(many) - many
+        who = live[members[ranges(start_of[at], many[at])]]
+        depth = np.repeat(depth, many[at])
+        start, length = anchor[who] - depth, right[who] + depth
         keep = length >= width
         who, depth, start, length = who[keep], depth[keep], start[keep], length[keep]
-        head = span_hash(prefix, start, np.full(len(start), width))
-        rank = np.lexsort((head, depth, x.group[who]))
-        who, depth, start, length, head = who[rank], depth[rank], start[rank], length[rank], head[rank]
-        if not len(who):
-            return who, depth, depth
-        new = np.concatenate([[True], (head[1:] != head[:-1]) | (depth[1:] != depth[:-1]) | (x.group[who][1:] != x.group[who][:-1])])
-        family = np.cumsum(new) - 1
-        shared = np.bincount(family)[family] > 1
+        _, family = classes(x.group[who], depth, span_hash(prefix, start, np.full(len(start), width)))
+        shared = np.bincount(family, minlength=1)[family] > 1
         who, depth, start, length, family = who[shared], depth[shared], start[shared], length[shared], family[shared]
         if not len(who):
             return who, depth, depth
-        forward = Side(prefix, x.data, start, length, False)
-        order = merge_sort(forward, family)
-        near = neighbours(forward, order, family)
+        # suffixes that are the same up to the end of their contexts are sorted once
+        one, same = classes(family, length, span_hash(prefix, start, length))
+        forward = Side(prefix, x.data, start[one], length[one], False)
+        order = merge_sort(forward, family[one])
+        near = neighbours(forward, order, family[one])
+        longest = np.zeros(len(one), np.int64)
+        longest[order] = np.maximum(near[:-1], near[1:])
+        twice = np.bincount(same, minlength=len(one)) > 1
+        longest[twice] = length[one][twice]
         pairs = np.flatnonzero(near[1:-1] >= width)
-        n = near[pairs + 1]
-        one, two = start[order[pairs]], start[order[pairs + 1]]
-        for k in range(0, len(pairs), 4096):
-            a, b = ranges(one[k : k + 4096], n[k : k + 4096]), ranges(two[k : k + 4096], n[k : k + 4096])
-            if not np.array_equal(x.data[a], x.data[b]):
+        a, b, n = start[one][order[pairs]], start[one][order[pairs + 1]], near[pairs + 1]
+        others = np.flatnonzero(np.arange(len(who)) != one[same])
+        a, b, n = np.concatenate([a, start[one[same[others]]]]), np.concatenate([b, start[others]]), np.concatenate([n, length[others]])
+        for k in range(0, len(a), 4096):
+            if not np.array_equal(x.data[ranges(a[k : k + 4096], n[k : k + 4096])], x.data[ranges(b[k : k + 4096], n[k : k + 4096])]):
                 return None
-        longest = np.maximum(near[:-1], near[1:])
+        longest = longest[same]
         repeat = longest >= width
-        who, depth = who[order][repeat], depth[order][repeat]
-        return who, -depth, longest[repeat] - depth
+        return who[repeat], -depth[repeat], longest[repeat] - depth[repeat]
 
     def run(x: Groups) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         seed = 101
@@ -190,4 +244,4 @@ def dedup_bytes(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     ``gram`` bytes make an anchor (smaller: fewer anchors, more of them shared by chance);
     groups of more than ``most_kinds`` kinds of context are counted over the cluster.
     """
-    return remove_repeats(df, id_column, text_column, BYTES, resolver(width), width, gram, most_kinds)
+    return remove_repeats(df, id_column, text_column, BYTES, resolver(width, gram), width, gram, most_kinds)
