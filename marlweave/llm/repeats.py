@@ -173,6 +173,11 @@ def by_groups(unit: Unit, resolve: Callable[[Groups], tuple[np.ndarray, np.ndarr
         again = table["n"].to_numpy() > 1
         begin, end = np.concatenate([begin, -left[again]]), np.concatenate([end, (np.diff(at) - left)[again]])
         who = np.concatenate([who, np.flatnonzero(again)])
+        # unite what overlaps in a context; contexts are set apart by more than their length
+        apart = 2 * int(np.diff(at).max(initial=0)) + 2
+        begin, end = join_runs(who * apart + begin + left[who], who * apart + end + left[who])
+        who = begin // apart
+        begin, end = begin - who * apart - left[who], end - who * apart - left[who]
         context = table["context"].to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(h[who]), pa.array(context[who]), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))], names=["h", "context", "begin", "end"])
 
@@ -252,11 +257,11 @@ def repeated(
         marks = sent.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(by_groups(unit, resolve, bucket), MARKS).unionByName(counted)
     else:
         marks = sent.repartition("h").sortWithinPartitions("h").mapInArrow(by_groups(unit, resolve, bucket), MARKS)
-    marks = marks.groupBy("h", "context").agg(F.collect_set(F.struct("begin", "end")).alias("marks"))
+    marks = marks.groupBy("h", "context").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
     inner = mixed.join(marks, ["h", "context"]).select("tid", F.explode(F.transform("marks", lambda m: F.struct((F.col("place") + m["begin"]).alias("begin"), (F.col("place") + m["end"]).alias("end")))).alias("span"))
     # all that windows with this anchor can cover; the end is cut to the text's later
     outer = again.where("same").select("tid", F.struct(F.greatest(F.col("place") - (width - gram), F.lit(0)).alias("begin"), (F.col("place") + width).alias("end")).alias("span"))
-    return inner.unionByName(outer).groupBy("tid").agg(F.collect_set("span").alias("spans"))
+    return inner.unionByName(outer).groupBy("tid").agg(F.collect_list("span").alias("spans"))
 
 
 def cut(unit: Unit):
