@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import graphs, lexical, state
+
+_ALL = {**lexical.QUERIES, **graphs.QUERIES, **state.QUERIES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: fn for name, (fn, _) in _ALL.items()}
+ORACLES: dict[str, str] = {name: text for name, (_, text) in _ALL.items() if text}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
