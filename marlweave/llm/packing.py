@@ -7,6 +7,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,7 @@ def encoder(path: str):
     model, an unknown split) are run by ``tokenizers`` itself. Strings of special
     tokens in a text are ordinary text.
     """
-    with open(path, encoding="utf-8") as f:
-        said = json.load(f)
+    said = json.loads(Path(path).read_text("utf-8"))
     pre = said.get("pre_tokenizer") or {}
     plain = (
         (said.get("model") or {}).get("type") in ("BPE", None)

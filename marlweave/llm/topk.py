@@ -193,10 +193,10 @@ def _by_number(others: DataFrame, queries: DataFrame):
     """Joins every block of rows with every block of queries by the latter's number."""
     numbers = [r["q_block"] for r in queries.select("q_block").collect()]
     spread = 16
-    sent = others.select("*", F.explode(F.array(*[F.lit(n) for n in numbers])).alias("q_block"), F.pmod("block", F.lit(spread)).alias("part"))
+    sent = others.select("*", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias("q_block"), F.pmod("block", F.lit(spread)).alias("part"))
 
     def meet(q: DataFrame) -> DataFrame:
-        copies = q.select("*", F.explode(F.array(*[F.lit(n) for n in range(spread)])).cast("long").alias("part"))
+        copies = q.select("*", F.explode(F.array(*[F.lit(n).cast("long") for n in range(spread)])).alias("part"))
         return sent.join(copies, ["q_block", "part", "dim"])
 
     return meet

@@ -1,5 +1,6 @@
 """Sharding and top-k against brute force, odd inputs."""
 
+import operator
 import random
 import zlib
 from collections import Counter
@@ -54,7 +55,7 @@ def brute(rows, k):
     for q, a in good:
         if q % 3:
             continue
-        score = sorted(((sum(x * y for x, y in zip(a, b)), i) for i, b in good if i != q and len(a) == len(b)), key=lambda p: (-p[0], p[1]))
+        score = sorted(((sum(map(operator.mul, a, b)), i) for i, b in good if i != q and len(a) == len(b)), key=lambda p: (-p[0], p[1]))
         out[q] = [(s, i) for s, i in score[:k]]
     return {q: x for q, x in out.items() if x}
 
