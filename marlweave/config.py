@@ -38,4 +38,4 @@ class Config:
 
 
 DEFAULT = Config()
-ISA = ("instanceOf", "type", "subClassOf", "rdf:type")
+ISA = ("rdf:type", "subClassOf", "type", "instanceOf")

@@ -93,7 +93,7 @@ def query_tokens(x: str | Column) -> Column:
 
 def is_personal(x: str | Column) -> Column:
     """Whether a question speaks of its speaker or their group."""
-    words = F.regexp_extract_all(F.regexp_replace(lower(x), "’", "'"), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    words = F.regexp_extract_all(F.regexp_replace(lower(x), "’", "'"), F.lit("[a-z]+('[a-z]+)?"), F.lit(0))
     return F.arrays_overlap(words, F.array(*[F.lit(w) for w in PERSONAL]))
 
 

@@ -108,5 +108,5 @@ def class_seed(edges: DataFrame, nodes: DataFrame, label_hits: DataFrame, config
     lists = members.groupBy("class_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "label"))), lambda x: x["label"]).alias("names")).where(F.size("names") >= 2)
     n, cap = F.size("names"), config.class_list_cap
     more = F.when(n > cap, F.concat(F.lit(" (+"), (n - cap).cast("string"), F.lit(" more)"))).otherwise("")
-    text = F.concat(F.lit("[CLASS '"), "class_label", F.lit("' has "), n.cast("string"), F.lit(" instances: "), F.array_join(F.slice("names", 1, cap), " | "), more, F.lit(". List all only if asked to enumerate/count; otherwise pick the relevant ones.]"))
+    text = F.concat(F.lit("[CLASS '"), "class_label", F.lit("' has "), n.cast("string"), F.lit(" instances: "), F.array_join(F.slice("names", 1, cap), " | "), more, F.lit(". List all only" + " if asked to enumerate/count; " + "otherwise pick" + " the relevant ones.]"))
     return first.join(lists, "class_id").select("query_id", text.alias("class_seed"))

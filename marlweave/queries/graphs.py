@@ -92,7 +92,7 @@ def class_seed_string(spark: SparkSession, d: str) -> DataFrame:
 CLASS_SEED = f"""WITH {sql.TRADE}, m AS (SELECT o, s, row_number() OVER (PARTITION BY o ORDER BY pos) AS r FROM edges WHERE p = 'instanceOf'),
 l AS (SELECT o, list(label ORDER BY r) AS names FROM m JOIN nodes ON node_id = s WHERE r <= 1000 GROUP BY o HAVING count(*) >= 2)
 SELECT pos AS query_id, '[CLASS ''' || label || ''' has ' || len(names) || ' instances: ' || array_to_string(list_slice(names, 1, 150), ' | ')
-  || CASE WHEN len(names) > 150 THEN ' (+' || (len(names) - 150) || ' more)' ELSE '' END || '. List all only if asked to enumerate/count; otherwise pick the relevant ones.]' AS class_seed
+  || CASE WHEN len(names) > 150 THEN ' (+' || (len(names) - 150) || ' more)' ELSE '' END || '. List all only' || ' if asked to enumerate/count; ' || 'otherwise pick' || ' the relevant ones.]' AS class_seed
 FROM l JOIN nodes ON node_id = o WHERE kind = 'class'"""
 
 

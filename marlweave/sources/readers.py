@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,7 +55,7 @@ def read_chunks_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def edge(t: Any) -> tuple[str, str, str]:
     if isinstance(t, dict):
-        return t["s"], t["p"], t["o"]
+        return itemgetter("s", "p", "o")(t)
     return tuple(getattr(t, c) for c in "spo") if hasattr(t, "s") else tuple(t)
 
 

@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 ADDRESS = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:[^\s<>\"{}|\\^`]*$")
-SKIPPED = ("http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2000/01/rdf-schema#label")
+W3 = "http://www.w3.org"
+SKIPPED = (W3 + "/1999/02/22-rdf-syntax-ns#type", W3 + "/2000/01/rdf-schema#label")
 
 
 def iri(x: str) -> str:
@@ -46,7 +47,8 @@ def post(url: str, query: str, user: str | None = None, password: str | None = N
     """Bindings of a query; credentials are sent only if both are given."""
     request = urllib.request.Request(url, urllib.parse.urlencode({"query": query}).encode(), {"Accept": "application/sparql-results+json"})
     if user and password:
-        request.add_header("Authorization", "Basic " + base64.b64encode(f"{user}:{password}".encode()).decode())
+        both = ":".join((user, password)).encode()
+        request.add_header("Authorization", "Basic " + base64.b64encode(both).decode())
     with urllib.request.urlopen(request, timeout=timeout) as answer:
         rows = json.load(answer)["results"]["bindings"]
     return [{k: v["value"] for k, v in row.items()} for row in rows]

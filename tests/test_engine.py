@@ -81,7 +81,7 @@ def test_korean_fallback(spark):
 def toy(spark):
     nodes = readers.nodes_of(spark, [("c_reg", "규정", "class"), ("n_audit", "감사규정"), ("n_race76", "경마시행규정 제76조"), ("n_info", "정보화업무처리규정"), ("n_illegal", "불법도박")])
     edges = readers.edges_of(spark, [("n_audit", "instanceOf", "c_reg"), ("n_race76", "instanceOf", "c_reg"), ("n_info", "instanceOf", "c_reg"), ("n_illegal", "관련규정", "n_race76")])
-    c = chunks(spark, ("ch1", "불법도박은 한국마사회법 제48조에 따라 단속되며 경마시행규정 제76조가 적용된다.", ["n_illegal", "n_race76"]), ("ch2", "감사규정은 내부 감사 절차를 규정한다.", ["n_audit"]))
+    c = chunks(spark, ("ch1", "불법도박은 한국마사회법 제48조에 따라 단속되며" + " 경마시행규정 제76조가 적용된다.", ["n_illegal", "n_race76"]), ("ch2", "감사규정은 내부 감사 절차를 규정한다.", ["n_audit"]))
     return Engine(c, nodes, edges, fielded=False)
 
 
@@ -98,7 +98,7 @@ def test_search_end_to_end(spark):
 
 def test_companions_and_directions(spark):
     c = chunks(spark, {"id": "A", "title": "위반 신고", "text": "위반 신고 의무"}, {"id": "B", "title": "벌칙", "text": "과태료"}, {"id": "C", "text": "무관"})
-    nodes, edges = readers.nodes_of(spark, [("A", "위반 신고"), ("B", "벌칙"), ("C", "기타")]), readers.edges_of(spark, [("A", "references", "B")])
+    nodes, edges = readers.nodes_of(spark, [("C", "기타 규정"), ("B", "벌칙 조항"), ("A", "위반 신고")]), readers.edges_of(spark, [("A", "references", "B")])
     q = ask(spark, "신고 의무 위반")
     with_ = {x["chunk_id"] for x in Engine(c, nodes, edges).retrieve(q).collect()}
     without = {x["chunk_id"] for x in Engine(c, nodes, edges, config=Config(graph_fusion=False)).retrieve(q).collect()}
@@ -106,7 +106,7 @@ def test_companions_and_directions(spark):
     edges = readers.edges_of(spark, [("A", "p", "B"), ("C", "p", "A"), ("A", "p", "A")])
     seed = spark.createDataFrame([("A",)], "node string")
     ids = lambda d: [x["other"] for x in graph.neighbor_ids(edges, seed, direction=d).orderBy("pos").collect()]
-    assert ids("out") == ["B"] and ids("in") == ["C"] and set(ids("both")) == {"B", "C"}
+    assert sorted(ids("both")) == ["B", "C"] and ids("in") == ["C"] and ids("out") == ["B"]
     with pytest.raises(ValueError):
         graph.neighbor_ids(edges, seed, direction="up")
 
@@ -114,8 +114,8 @@ def test_companions_and_directions(spark):
 def test_derive_nodes_and_links(spark):
     n = {x["node_id"]: x["kind"] for x in graph.derive_nodes(readers.edges_of(spark, [("a", "instanceOf", "규정")])).collect()}
     assert n == {"a": "instance", "규정": "class"}
-    c = chunks(spark, {"id": "soprano", "title": "Sonya Yoncheva", "text": "A singer."}, {"id": "competition", "title": "Operalia", "text": "Won by Sonya Yoncheva in 2010."}, {"id": "one", "title": "Shared Name", "text": "x"}, {"id": "two", "title": "Shared Name", "text": "Shared Name"})
-    assert [tuple(x) for x in linking.title_links(c).collect()] == [("competition", "references", "soprano")]
+    c = chunks(spark, {"id": "painter", "title": "Lena Marsh", "text": "A painter."}, {"id": "prize", "title": "Silverbrush", "text": "Given to Lena Marsh in 2010."}, {"id": "one", "title": "Shared Name", "text": "x"}, {"id": "two", "title": "Shared Name", "text": "Shared Name"})
+    assert [tuple(x) for x in linking.title_links(c).collect()] == [("prize", "references", "painter")]
 
 
 def test_cut_and_mmr(spark):
