@@ -15,11 +15,24 @@ from .common import U64, blocks, mix, utf8, whole_text
 from .langid import fold
 
 STEP = U64(0x9E3779B97F4A7C15)
+HEAD = 5
 RESULT = "score double, predicted int, similarity double, evidence array<struct<example:long,label:int,similarity:double>>"
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash of each word (a run of letters, in lower case) and the text it is in."""
+    h, text, _, _ = words_and_heads(data, offsets)
+    return h, text
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of the first HEAD letters of longer ones, with their texts."""
+    h, text, head, at = words_and_heads(data, offsets)
+    return np.concatenate([h, head]), np.concatenate([text, text[at]])
+
+
+def words_and_heads(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of each word; hash of the head of each longer word, and which word that is."""
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
     folded = fold(points)
@@ -29,15 +42,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start = inside & np.concatenate([[True], ~inside[:-1] | first[1:-1]])
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.zeros(0, U64), np.zeros(0, np.int64)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     code = mix(folded.astype(U64) + U64(1))
     stop = inside & np.concatenate([~inside[1:] | first[1:-1], [True]])
     ends = np.flatnonzero(stop) + 1
     # position weights inside the word: a sum of symbol times an odd number by place
-    place = np.arange(len(points), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(points))))[: len(points)] if starts[0] == 0 else _places(starts, len(points))
+    place = _places(starts, len(points))
     weight = mix((np.maximum(place, 0).astype(U64) + U64(7)) * STEP) | U64(1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(np.where(inside, code * weight, U64(0)), dtype=U64)])
-    return mix(sums[ends] - sums[starts]), np.searchsorted(at, starts, side="right") - 1
+    longer = np.flatnonzero(ends - starts > HEAD)
+    head = mix((sums[starts[longer] + HEAD] - sums[starts[longer]]) ^ STEP)
+    return mix(sums[ends] - sums[starts]), np.searchsorted(at, starts, side="right") - 1, head, longer
 
 
 def _places(starts: np.ndarray, n: int) -> np.ndarray:
@@ -132,11 +147,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(rows: list[tuple[int, np.ndarray, np.ndarray, int]], terms: int, k: int, block: int, least: float = 20.0) -> Index:
+def build(rows: list[tuple[int, np.ndarray, np.ndarray, int]], terms: int, k: int, block: int, least: float = 30.0) -> Index:
     """An index of (id, word hashes, counts, label) rows over the ``terms`` terms that tell the labels apart best.
 
     Terms are ranked by the chi-square statistic of presence against label; only terms
-    with a statistic of at least ``least``, more frequent under label 1 than under 0, count.
+    with a statistic of at least ``least``, more frequent under label 1 than under 0, count
+    (at 30 less than one term in ten million would pass by chance).
     """
     label = np.array([r[3] for r in rows], np.int64)
     n, pos = len(rows), int(label.sum())
@@ -195,7 +211,7 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for i in range(batch.num_rows):
             own = offsets[i : i + 2]
-            h, _ = words(data[own[0] : own[1]], own - own[0])
+            h, _ = features(data[own[0] : own[1]], own - own[0])
             kinds, n = np.unique(h, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[i : i + 1]), pa.array([kinds.tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary()), pa.array(labels[i : i + 1].astype(np.int32))],
@@ -230,7 +246,8 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
 def score(df: DataFrame, labels: DataFrame | None = None, index: Index | None = None, id_column: str = "doc_id", text_column: str = "text", out: str = "toxicity", threshold: float = 0.7, shown: int = 3, **training) -> DataFrame:
     """Adds the struct ``out`` (score, predicted, similarity, evidence) to every row.
 
-    A text is a TF-IDF vector over terms chosen from the labelled examples. Its ``k`` nearest
+    A text is a TF-IDF vector over terms (words, and the first letters of longer ones) chosen from
+    the labelled examples. Its ``k`` nearest
     examples by exact cosine come from inverted lists whose blocks carry their maxima; their
     labels vote, weighted by squared cosine, and the vote is turned into a probability by an isotonic
     fit to the votes of examples outside the index, at the labels' true shares. ``evidence``
@@ -256,7 +273,7 @@ def score(df: DataFrame, labels: DataFrame | None = None, index: Index | None =
             value, top, evidence = np.full(n, model.prior), np.zeros(n), [[] for _ in range(n)]
             for a, b in blocks(offsets, 1 << 20) if len(model.terms) else ():
                 own = offsets[a : b + 1]
-                h, text = words(data[own[0] : own[-1]], own - own[0])
+                h, text = features(data[own[0] : own[-1]], own - own[0])
                 rows, vectors = model.vectors(h, text, b - a)
                 if not len(rows):
                     continue
