@@ -129,28 +129,51 @@ def components(spark: SparkSession, links: DataFrame, at_driver: int = 500_000)
             return label
 
 
-def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, broadcast_rows: int) -> DataFrame:
-    """Verified links (a, b, edits) between different texts; docs: doc_id, text, tid."""
+def met(left: DataFrame, right: DataFrame, by: str, block: int = 512) -> DataFrame:
+    """Every row of ``left`` with every row of ``right`` of the same ``by``; of both, n rows at most have it.
+
+    left: by, n, x, x_*; right: by, n, y, y_*. A large group is cut into blocks on both sides, and every
+    two blocks meet under a key of their own, so that no task has to make all pairs of a group.
+    """
+    many = F.ceil(F.col("n") / block).cast("int")
+    own = lambda c: F.pmod(F.xxhash64(c), many).cast("int")
+    every = F.explode(F.sequence(F.lit(0), many - 1))
+    one = left.withColumn("i", own("x")).withColumn("j", every).drop("n")
+    two = right.withColumn("j", own("y")).withColumn("i", every).drop("n")
+    return one.join(two, [by, "i", "j"])
+
+
+def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, broadcast_rows: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Near pairs (a, b) of different texts, and those of them that suffice to connect the classes; docs: doc_id, text, tid.
+
+    All pairs of a bucket are decided. Without ``every`` the first table lacks those that others connect.
+    """
     lists = docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples), "tid binary, keys array<long>, size int")
     lists = lists.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     bucket = staged(lists.select("tid", "size", F.explode("keys").alias("key")), "sketches")
-    first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("a")).where("n > 1").select("key", "a")
+    first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "size")).alias("f")).where("n > 1").select("key", "n", F.col("f.tid").alias("a"), F.col("f.size").alias("a_size"))
     shared = staged(bucket.join(first, "key"), "buckets")
     members = shared.where("tid <> a")
-    star = staged(members.select("a", F.col("tid").alias("b")).distinct(), "pairs")
-    one = staged(aligned(docs, star, share, broadcast_rows), "links")
-    # a member that is not near its bucket's first may still be near another one: all its pairs
-    # in the bucket with texts of other classes so far
-    root = components(docs.sparkSession, one.where("near"))
-    classed = shared.join(root, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    top = root.select(F.col("tid").alias("a"), F.col("root").alias("first_root"))
-    classed = classed.join(top, "a", "left").withColumn("first_root", F.coalesce("first_root", "a"))
-    odd = classed.where(F.col("root") != F.col("first_root")).select("key", F.col("tid").alias("x"), F.col("root").alias("x_root"), F.col("size").alias("x_size"))
-    rest = odd.join(classed.select("key", "tid", "root", "size"), "key").where((F.col("x_root") != F.col("root")) & (F.abs(F.col("x_size") - F.col("size")) <= share * F.greatest("x_size", "size")))
-    pairs = rest.select(F.least("x", "tid").alias("a"), F.greatest("x", "tid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = staged(pairs, "more-pairs")
-    two = aligned(docs, pairs, share, broadcast_rows)
-    return staged(one.where("near").unionByName(two.where("near")).select("a", "b", "edits"), "verified")
+    # the edits are no fewer than the words that one has more than the other
+    fits = lambda x, y: F.abs(F.col(x) - F.col(y)) <= (share * F.greatest(x, y)).cast("int")
+    star = staged(members.where(fits("size", "a_size")).select("a", F.col("tid").alias("b"), "size").distinct(), "pairs")
+    one = staged(aligned(docs, star.select("a", "b"), share, broadcast_rows).where("near").join(star, ["a", "b"]).select("a", "b", "edits", "size"), "links")
+    # a member that is not near its bucket's first may be near any other one of the bucket
+    odd = members.join(one.select("a", F.col("b").alias("tid")), ["a", "tid"], "left_anti")
+    rest = met(odd.select("key", "n", F.col("tid").alias("x"), F.col("size").alias("x_size")), members.select("key", "n", F.col("tid").alias("y"), F.col("size").alias("y_size")), "key")
+    rest = rest.where((F.col("x") != F.col("y")) & fits("x_size", "y_size")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("known"))
+    if every:
+        # those near the same first: its distances to both decide most pairs (1 far, 2 near)
+        group = one.join(one.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a")
+        side = lambda c: group.select("a", "n", F.col("b").alias(c), F.col("size").alias(f"{c}_size"), F.col("edits").alias(f"{c}_edits"))
+        pairs = met(side("x"), side("y"), "a").where("x < y").where(fits("x_size", "y_size"))
+        limit = (share * F.greatest("x_size", "y_size")).cast("int")
+        known = F.when(F.col("x_edits") + F.col("y_edits") <= limit, 2).when(F.abs(F.col("x_edits") - F.col("y_edits")) > limit, 1).otherwise(0)
+        rest = rest.union(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), known.alias("known")))
+    rest = staged(rest.groupBy("a", "b").agg(F.max("known").alias("known")).join(star, ["a", "b"], "left_anti"), "more-pairs")
+    two = aligned(docs, rest.where("known = 0").select("a", "b"), share, broadcast_rows).where("near")
+    enough = staged(one.select("a", "b").union(two.select("a", "b")), "verified")
+    return enough.union(rest.where("known = 2").select("a", "b")), enough
 
 
 def aligned(docs: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
@@ -164,11 +187,11 @@ def aligned(docs: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int
     return both.select("a", "b", "text_a", "text_b").repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b").mapInArrow(verify(share), "a binary, b binary, edits long, near boolean")
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 3, kept: int = 3, samples: int = 32, share: float = 0.2, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(tid, root, links) of every text that has a near duplicate; tid stands for the text."""
+def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 3, kept: int = 3, samples: int = 32, share: float = 0.2, broadcast_rows: int = 1_000_000, every: bool = True) -> DataFrame:
+    """(tid, root, links) of every text that has a near duplicate; tid stands for the text. Only with ``every`` the links are all."""
     docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text")))
-    links = linked(docs, gram, kept, samples, share, broadcast_rows)
-    root = components(df.sparkSession, links)
+    links, enough = linked(docs, gram, kept, samples, share, broadcast_rows, every)
+    root = components(df.sparkSession, enough)
     ends = links.select(F.col("a").alias("tid")).union(links.select("b")).groupBy("tid").agg(F.count(F.lit(1)).alias("links"))
     return staged(root.join(ends, "tid"), "classes")
 
@@ -179,11 +202,11 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Texts are sequences of words (letters in lower case). Each of ``samples`` samples takes the
     ``kept`` smallest k-mers of ``gram`` words under its own hash, where equal k-mers are told apart by
     their number of occurrence, and keeps their order in the text; texts with an equal sample are
-    candidates. In each bucket all texts are aligned with its first; those that are not near it,
-    with all others of the bucket that are not of their class yet. A pair is near if a banded alignment
-    finds at most ``share`` edits per word of the longer text. Classes are what links connect.
+    candidates. A pair is near if it takes at most ``share`` edits per word of the longer text. In
+    each bucket all pairs are decided: all texts are aligned with its first, and other pairs too unless
+    their distances to the first decide them (by the triangle inequality). Classes are what links connect.
 
-    ``copies`` counts the rows of the same text, ``links`` the verified links of the text with others,
+    ``copies`` counts the rows of the same text, ``links`` the different texts among its candidates that it is near,
     ``class_id`` is the smallest id in the class. Equal texts are always in one class, all null and
     empty texts too. Repeated rows are rows; ids may be null (they are no class_id); an empty
     table gives no rows. Other columns are ignored.
@@ -199,7 +222,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
     """The rows of ``df`` that stay if each class keeps its row of the smallest id (null last; then any)."""
-    known = classes(df, id_column, text_column, **settings)
+    known = classes(df, id_column, text_column, every=False, **settings)
     key = text_key(whole_text(text_column))
     ids = df.select(F.col(id_column).alias("i"), key.alias("t"))
     per = ids.groupBy("t").agg(F.min("i").alias("i")).join(known.select(F.col("tid").alias("t"), "root"), "t", "left")

@@ -97,3 +97,26 @@ def test_copies_with_small_edits_are_found(spark):
     edited = df.select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.regexp_replace("text", r"^(\S+ \S+ )\S+", "$1changed").alias("text"))
     got = near_dedup.near_duplicates(df.select("doc_id", "text").union(edited))
     assert got.where("doc_id >= 1000000 AND class_id >= 1000000").count() == 0
+
+
+def test_links_against_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(100)]
+    texts = []
+    for k in range(24):
+        w = list(base) if k % 2 else [*base[:65], *reversed(base[65:])]
+        for i in r.sample(range(100), 2 + k % 6):
+            w[i] = word()
+        texts.append(w)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: x["links"] for x in near_dedup.near_duplicates(df, samples=256).collect()}
+    want = {i: sum(edit(a, b) <= 20 for j, b in enumerate(texts) if j != i) for i, a in enumerate(texts)}
+    assert got == want and set(want.values()) == {11}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_blocks_meet_once(spark, block):
+    rows = spark.createDataFrame([(g, n, i) for g, n in ((1, 20), (2, 3)) for i in range(n)], "g long, n long, x long")
+    got = near_dedup.met(rows, rows.withColumnRenamed("x", "y"), "g", block).select("g", "x", "y").collect()
+    assert sorted(map(tuple, got)) == [(g, x, y) for g, n in ((1, 20), (2, 3)) for x in range(n) for y in range(n)]
