@@ -56,7 +56,32 @@ def sketch(u: np.ndarray, gram: int, kept: int, samples: int) -> np.ndarray:
     return out
 
 
-def sketches(gram: int, kept: int, samples: int):
+def short_keys(u: np.ndarray, share: float, short: int) -> np.ndarray:
+    """Keys of a text of at most ``short`` words, of which two such texts within the edit budget share one.
+
+    The longer text, of n words, is cut into one part more than the edits it allows, so one part is
+    whole in the shorter one. To both sides of the part the lengths may differ by the edits there,
+    which bounds the places where it can be. A key is n, the number of the part, and its words.
+    """
+    size, out = len(u), []
+    for n in range(size, short + 1):
+        d = int(share * n)
+        if n - size > d:
+            break
+        cuts = np.arange(d + 2) * n // (d + 1)
+        for part in range(d + 1):
+            a, width = int(cuts[part]), int(cuts[part + 1] - cuts[part])
+            starts = np.arange(max(0, a - (d + n - size) // 2), min(size - width, a + (d - n + size) // 2) + 1)
+            if not len(starts):
+                continue
+            z = np.full(len(starts), n * 1000 + part + 1, U64) * U64(BASE)
+            for t in range(width):
+                z = mix(z * U64(BASE) + u[starts + t])
+            out.append(z)
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
+
+
+def sketches(gram: int, kept: int, samples: int, share: float, short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
@@ -69,11 +94,13 @@ def sketches(gram: int, kept: int, samples: int):
                     if len(u) and ids[a + i] not in seen:
                         seen.add(ids[a + i])  # copies in the same task give nothing new
                         tid.append(ids[a + i])
-                        keys.append(sketch(u, gram, kept, samples).view(np.int64))
+                        own_keys = sketch(u, gram, kept, samples)
+                        keys.append((np.concatenate([own_keys, short_keys(u, share, short)]) if len(u) <= short else own_keys).view(np.int64))
                         size.append(len(u))
             if tid:
                 flat = pa.array(np.concatenate(keys))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tid) + 1, dtype=np.int32) * samples), flat)
+                ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), flat)
                 yield pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), lists, pa.array(size, pa.int32())], names=["tid", "keys", "size"])
 
     return run
@@ -143,12 +170,12 @@ def met(left: DataFrame, right: DataFrame, by: str, block: int = 512) -> DataFra
     return one.join(two, [by, "i", "j"])
 
 
-def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, broadcast_rows: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
+def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, short: int, broadcast_rows: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
     """Near pairs (a, b) of different texts, and those of them that suffice to connect the classes; docs: doc_id, text, tid.
 
     All pairs of a bucket are decided. Without ``every`` the first table lacks those that others connect.
     """
-    lists = docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples), "tid binary, keys array<long>, size int")
+    lists = docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples, share, short), "tid binary, keys array<long>, size int")
     lists = lists.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
     bucket = staged(lists.select("tid", "size", F.explode("keys").alias("key")), "sketches")
     first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "size")).alias("f")).where("n > 1").select("key", "n", F.col("f.tid").alias("a"), F.col("f.size").alias("a_size"))
@@ -187,10 +214,10 @@ def aligned(docs: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int
     return both.select("a", "b", "text_a", "text_b").repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b").mapInArrow(verify(share), "a binary, b binary, edits long, near boolean")
 
 
-def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 3, kept: int = 3, samples: int = 32, share: float = 0.2, broadcast_rows: int = 1_000_000, every: bool = True) -> DataFrame:
+def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 2, kept: int = 3, samples: int = 64, share: float = 0.2, short: int = 36, broadcast_rows: int = 1_000_000, every: bool = True) -> DataFrame:
     """(tid, root, links) of every text that has a near duplicate; tid stands for the text. Only with ``every`` the links are all."""
     docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text")))
-    links, enough = linked(docs, gram, kept, samples, share, broadcast_rows, every)
+    links, enough = linked(docs, gram, kept, samples, share, short, broadcast_rows, every)
     root = components(df.sparkSession, enough)
     ends = links.select(F.col("a").alias("tid")).union(links.select("b")).groupBy("tid").agg(F.count(F.lit(1)).alias("links"))
     return staged(root.join(ends, "tid"), "classes")
@@ -202,7 +229,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Texts are sequences of words (letters in lower case). Each of ``samples`` samples takes the
     ``kept`` smallest k-mers of ``gram`` words under its own hash, where equal k-mers are told apart by
     their number of occurrence, and keeps their order in the text; texts with an equal sample are
-    candidates. A pair is near if it takes at most ``share`` edits per word of the longer text. In
+    candidates, and so are, without loss, texts of at most ``short`` words within the edit budget. A pair is near if it takes at most ``share`` edits per word of the longer text. In
     each bucket all pairs are decided: all texts are aligned with its first, and other pairs too unless
     their distances to the first decide them (by the triangle inequality). Classes are what links connect.
 

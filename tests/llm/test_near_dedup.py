@@ -120,3 +120,44 @@ def test_blocks_meet_once(spark, block):
     rows = spark.createDataFrame([(g, n, i) for g, n in ((1, 20), (2, 3)) for i in range(n)], "g long, n long, x long")
     got = near_dedup.met(rows, rows.withColumnRenamed("x", "y"), "g", block).select("g", "x", "y").collect()
     assert sorted(map(tuple, got)) == [(g, x, y) for g, n in ((1, 20), (2, 3)) for x in range(n) for y in range(n)]
+
+
+def test_short_near_texts_always_share_a_key():
+    r = random.Random(6)
+    for _ in range(3000):
+        a = [r.randint(1, 10**9) for _ in range(r.randint(1, 36))]
+        b = list(a)
+        for _ in range(int(0.2 * len(a))):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = [r.randint(1, 10**9) for _ in range(r.randint(0, 1))]
+        if not 0 < len(b) <= 36 or edit(a, b) > int(0.2 * max(len(a), len(b))):
+            continue
+        one, two = (set(near_dedup.short_keys(np.array(x, np.uint64), 0.2, 36).tolist()) for x in (a, b))
+        assert one & two, (a, b)
+
+
+def pairs_at(r, words, edits, n):
+    """Random texts, each with a copy in which so many words are others."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    for _ in range(n):
+        a = [word() for _ in range(words)]
+        b = list(a)
+        for i in r.sample(range(words), edits):
+            b[i] = word()
+        yield a, b
+
+
+SIZES = [(words, share) for words in (10, 20, 29, 50, 200) for share in (0.1, 0.15, 0.2)]
+
+
+def test_recall_of_near_pairs(spark):
+    r = random.Random(7)
+    rows, kind = [], {}
+    for words, share in SIZES:
+        for a, b in pairs_at(r, words, int(share * words), 40):
+            kind[len(rows)] = words, share
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: sum(got[i + 1] == i for i in kind if kind[i] == k) / 40 for k in SIZES}
+    print(found)
+    assert all(found[k] == 1 if k[0] < 30 else found[k] >= 0.95 for k in SIZES), found
