@@ -280,14 +280,14 @@ def examples(seed: int = 7, n: int = 600) -> list[tuple[str, list[tuple[int, int
 
 
 def labelled(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[list[str]], list[int]]]:
-    """Chains of a text with tags: a token is inside if a span holds half of it or more."""
+    """Chains of a text with tags: a token is of the span that holds more than half of it, and begins it if the token before is of another."""
     out = []
     for places, rows in segments(text):
-        tags, before = [], False
+        tags, before = [], None
         for a, b in places:
-            inside = any(min(b, y) - max(a, x) > (b - a) / 2 for x, y in spans)
-            tags.append((1 if before else 0) if inside else 2)
-            before = inside
+            own = next((s for s in spans if min(b, s[1]) - max(a, s[0]) > (b - a) / 2), None)
+            tags.append(2 if own is None else 1 if own == before else 0)
+            before = own
         out.append((rows, tags))
     return out
 
@@ -324,8 +324,20 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     return learn(chains)
 
 
+def uncovered(a: int, b: int, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of [a, b) that no span holds."""
+    out = []
+    for x, y in sorted(spans):
+        if x >= b:
+            break
+        if x > a:
+            out.append((a, x))
+        a = max(a, y)
+    return [*out, (a, b)] if a < b else out
+
+
 def find(text: str, field: Field) -> list[tuple[int, int, str, int]]:
-    """All spans of a text: those of the patterns, and those of the field that touch none of them."""
+    """All spans of a text: those of the patterns, and those of the field without the tokens that the patterns cover."""
     spans = base_spans(text)
     extra = []
     for places, rows in segments(text):
@@ -342,8 +354,12 @@ def find(text: str, field: Field) -> list[tuple[int, int, str, int]]:
             a, b = places[first][0], places[k - 1][1]
             while b > a and text[b - 1] in ".,-":
                 b -= 1
-            if b > a and not any(a < y and x < b for x, y, _, _ in spans):
-                extra.append((a, b, "crf", a))
+            # what stands before an assignment in the same token is part of its name
+            taken = [(next((p for p, q in places[first:k] if kind == "assign" and p < x < q), x), y) for x, y, kind, _ in spans]
+            for x, y in uncovered(a, b, taken):
+                whole = [(max(x, p), min(y, q)) for p, q in places[first:k] if p < y and x < q]
+                if whole and any(c.isalnum() for c in text[whole[0][0] : whole[-1][1]]):
+                    extra.append((whole[0][0], whole[-1][1], "crf", whole[0][0]))
     return sorted(spans + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
