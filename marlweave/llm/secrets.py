@@ -22,7 +22,6 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is one match of HEX, and the other way round
-CUE = re.compile(rb"(?i)pass|secret|token|api_?key|bearer|credential|private.key|pwd")
 
 TOKEN = re.compile(r"[\w+/@.~=-]+|[^\s\w+/@.~=-]")
 WORD = np.zeros(256, bool)
@@ -31,6 +30,11 @@ WORD[128:] = True
 DIGIT = np.zeros(256, bool)
 DIGIT[ord("0") : ord("9") + 1] = True
 CUES = ("password", "passwd", "pwd", "passphrase", "secret", "token", "apikey", "api_key", "key", "bearer", "authorization", "credential", "credentials", "auth", "pass", "private")
+#: The names in ASSIGN anywhere, and the cues where a token that is one can be (the Kelvin sign is k in lower case).
+CUE = re.compile(rb"(?i)pass|secret|token|api_?key|bearer|credential|pwd|(?<![a-z0-9_+/@~])(?:" + "|".join(CUES).replace("k", "(?:k|\u212a)").encode() + rb")(?![a-z0-9_+/@~])")
+#: Digits beyond ASCII, by code point.
+NUMERAL = np.zeros(0x110000, bool)
+NUMERAL[[c for c in range(128, 0x20000) if chr(c).isdigit()]] = True
 TAGS = ("B", "I", "O")
 START = np.array([0.0, -1e9, 0.0])  # a chain does not begin inside
 
@@ -57,6 +61,9 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     wide = np.flatnonzero(np.diff(gaps) > 24)
     hits += zip((gaps[wide] + 1).tolist(), gaps[wide + 1].tolist())
     digits = np.flatnonzero(DIGIT[data])
+    if (data >= 128).any():
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
+        digits = np.concatenate([digits, np.flatnonzero((data & 0xC0) != 0x80)[NUMERAL[points]]])
     near = np.searchsorted(gaps, digits)
     runs = np.unique(near[gaps[near] - gaps[near - 1] > 8])
     for k in runs.tolist():
