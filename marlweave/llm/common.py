@@ -47,6 +47,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that none of the table's columns has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def whole_text(column: str | Column) -> Column:
     """The text with null taken as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

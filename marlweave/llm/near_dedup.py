@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .alignment import distances
-from .common import BASE, U64, blocks, mix, staged, text_key, utf8, whole_text
+from .common import BASE, U64, blocks, mix, staged, text_key, unused, utf8, whole_text
 from .toxicity import words
 
 SEEDS = mix(np.arange(1, 1025, dtype=U64) * U64(BASE))
@@ -81,27 +82,132 @@ def short_keys(u: np.ndarray, share: float, short: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
-def sketches(gram: int, kept: int, samples: int, share: float, short: int):
+#: What the sketches of a task are written as: a row of packed keys for each range of keys, and a row for each text.
+SKETCHES = "r int, h long, keys binary, docs binary, tid binary, size int, counts binary"
+TEXT, HOT = -1, -2
+
+
+def word_counts(u: np.ndarray) -> bytes:
+    """How many words of a text fall into each of 64 classes, at most 255."""
+    return np.minimum(np.bincount((u >> U64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+
+
+def sketches(gram: int, kept: int, samples: int, share: float, short: int, ranges_bits: int, hold: int = 1 << 20, common: int = 64):
+    """Keys of the texts as rows of ``SKETCHES``.
+
+    A text is numbered by its task (copies in the same task once). Keys are packed by their leading
+    bits. Of a key that more than ``common`` texts held have, two go into the pack of
+    its range, and all others into one of their own (r = HOT), so that no range grows with a hot key.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        base = (task.partitionId() if task else 0) << 32
         seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        own: list[int] = []
+        texts: list[tuple[int, bytes, int, bytes]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            keys = np.concatenate(held)
+            docs = np.repeat(np.array(own, np.uint32), [len(k) for k in held])
+            order = np.argsort(keys, kind="stable")
+            keys, docs = keys[order], docs[order]
+            first = np.searchsorted(keys, keys, side="left")
+            many = np.searchsorted(keys, keys, side="right") - first
+            hot = (many > common) & (np.arange(len(keys)) - first >= 2)
+            rows = [(HOT, keys[hot], docs[hot])] if hot.any() else []
+            keys, docs = keys[~hot], docs[~hot]
+            r = (keys >> U64(64 - ranges_bits)).astype(np.int64) if ranges_bits else np.zeros(len(keys), np.int64)
+            cuts = np.flatnonzero(np.diff(r, prepend=-1, append=-1))
+            rows += [(int(r[x]), keys[x:y], docs[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            n, m = len(rows), len(texts)
+            none = [None] * n
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array([x[0] for x in rows] + [TEXT] * m, pa.int32()),
+                    pa.array([base] * n + [base + t[0] for t in texts], pa.int64()),
+                    pa.array([x[1].tobytes() for x in rows] + [None] * m, pa.binary()),
+                    pa.array([x[2].tobytes() for x in rows] + [None] * m, pa.binary()),
+                    pa.array(none + [t[1] for t in texts], pa.binary()),
+                    pa.array(none + [t[2] for t in texts], pa.int32()),
+                    pa.array(none + [t[3] for t in texts], pa.binary()),
+                ],
+                names=[x.split()[0] for x in SKETCHES.split(", ")],
+            )
+            held.clear(), own.clear(), texts.clear()
+            size = 0
+            return out
+
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_pylist()
-            tid, keys, size = [], [], []
             for a, b in blocks(offsets, 1 << 20):
-                own = offsets[a : b + 1]
-                for i, u in enumerate(units(data[own[0] : own[-1]], own - own[0])):
-                    if len(u) and ids[a + i] not in seen:
-                        seen.add(ids[a + i])  # copies in the same task give nothing new
-                        tid.append(ids[a + i])
-                        own_keys = sketch(u, gram, kept, samples)
-                        keys.append((np.concatenate([own_keys, short_keys(u, share, short)]) if len(u) <= short else own_keys).view(np.int64))
-                        size.append(len(u))
-            if tid:
-                flat = pa.array(np.concatenate(keys))
-                ends = np.cumsum([0, *(len(k) for k in keys)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(tid, pa.binary()), lists, pa.array(size, pa.int32())], names=["tid", "keys", "size"])
+                part = offsets[a : b + 1]
+                for i, u in enumerate(units(data[part[0] : part[-1]], part - part[0])):
+                    if not len(u) or ids[a + i] in seen:
+                        continue
+                    k = sketch(u, gram, kept, samples)
+                    k = np.unique(np.concatenate([k, short_keys(u, share, short)]) if len(u) <= short else k)
+                    texts.append((len(seen), ids[a + i], len(u), word_counts(u)))
+                    own.append(len(seen))
+                    held.append(k)
+                    size += len(k)
+                    seen.add(ids[a + i])
+                if size >= hold:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs sorted by range -> key and text of every key that more than one row of a range has."""
+    now, keys, docs = None, [], []
+
+    def solve() -> pa.RecordBatch:
+        k, d = np.concatenate(keys), np.concatenate(docs)
+        order = np.argsort(k, kind="stable")
+        k, d = k[order], d[order]
+        same = k[1:] == k[:-1]
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        return pa.RecordBatch.from_arrays([pa.array(k[twice].view(np.int64)), pa.array(d[twice])], names=["key", "h"])
+
+    for batch in batches:
+        for r, h, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if r != now and keys:
+                yield solve()
+                keys, docs = [], []
+            now = r
+            keys.append(np.frombuffer(k.as_py(), U64))
+            docs.append(np.frombuffer(d.as_py(), np.uint32).astype(np.int64) + h)
+    if keys:
+        yield solve()
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for h, k, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(d.as_py(), np.uint32).astype(np.int64) + h)], names=["key", "h"])
+
+
+def possible(share: float):
+    """Pairs with sizes and word counts -> those whose counts allow the edit budget; an edit changes a class by one at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(utf8(batch.column(c))[0], np.uint8).reshape(-1, 64).astype(np.int16) for c in ("x_counts", "y_counts"))
+            more = x - y
+            least = np.maximum(np.where(more > 0, more, 0).sum(axis=1), np.where(more < 0, -more, 0).sum(axis=1))
+            longer = np.maximum(batch.column("x_size").to_numpy(), batch.column("y_size").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array(least <= (share * longer).astype(np.int64)))
 
     return run
 
@@ -129,20 +235,21 @@ def components(spark: SparkSession, links: DataFrame, at_driver: int = 500_000)
     the cluster, through neighbours and then through the label's own label, until none changes.
     """
     if links.limit(at_driver + 1).count() <= at_driver:
-        parent: dict[bytes, bytes] = {}
+        parent: dict = {}
 
-        def top(x: bytes) -> bytes:
+        def top(x):
             while parent.setdefault(x, x) != x:
                 parent[x] = parent[parent[x]]
                 x = parent[x]
             return x
 
         for r in links.select("a", "b").toLocalIterator():
-            a, b = top(bytes(r["a"])), top(bytes(r["b"]))
+            a, b = (top(bytes(x) if isinstance(x, bytearray) else x) for x in (r["a"], r["b"]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        rows = [(bytearray(x), bytearray(top(x))) for x in sorted(parent)]
-        return spark.createDataFrame(rows, "tid binary, root binary")
+        kind = links.schema["a"].dataType
+        rows = [tuple(bytearray(v) if isinstance(v, bytes) else v for v in (x, top(x))) for x in sorted(parent)]
+        return spark.createDataFrame(rows, T.StructType([T.StructField("tid", kind), T.StructField("root", kind)]))
     both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
     label = staged(both.groupBy(F.col("a").alias("tid")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
     while True:
@@ -170,57 +277,109 @@ def met(left: DataFrame, right: DataFrame, by: str, block: int = 512) -> DataFra
     return one.join(two, [by, "i", "j"])
 
 
-def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, short: int, broadcast_rows: int, every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Near pairs (a, b) of different texts, and those of them that suffice to connect the classes; docs: doc_id, text, tid.
+def members(docs: DataFrame, gram: int, kept: int, samples: int, share: float, short: int) -> tuple[DataFrame, DataFrame]:
+    """The texts (h, tid, size, counts), each once, and (key, h, size) of the keys that more than one text has; docs: doc_id, text, tid.
+
+    There are so many ranges of keys that one holds some four million of them.
+    """
+    bits = max(6, min(17, (docs.count() * (samples + 16) >> 22).bit_length()))
+    made = staged(docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples, share, short, bits), SKETCHES), "sketches")
+    texts = made.where(F.col("r") == TEXT).select("h", "tid", "size", "counts")
+    # a text that several tasks met has a number of each; the smallest stays
+    twice = texts.groupBy("tid").agg(F.min("h").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tid", "keep")
+    gone = staged(texts.select("tid", "h").join(twice, "tid").where("h <> keep").select("h"), "copies")
+    packs = made.where(F.col("r") >= 0).select("r", "h", "keys", "docs").repartition("r").sortWithinPartitions("r")
+    found = packs.mapInArrow(repeated_keys, "key long, h long").unionByName(made.where(F.col("r") == HOT).select("r", "h", "keys", "docs").mapInArrow(unpacked, "key long, h long"))
+    found = found.join(gone, "h", "left_anti").join(texts.select("h", "size"), "h")
+    return staged(texts.join(gone, "h", "left_anti"), "texts"), staged(found, "members")
+
+
+def fits(share: float, x: str, y: str) -> Column:
+    """The edits are no fewer than the words that one has more than the other."""
+    return F.abs(F.col(x) - F.col(y)) <= limit(share, x, y)
+
+
+def limit(share: float, x: str, y: str) -> Column:
+    return (share * F.greatest(x, y)).cast("int")
+
+
+def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, short: int, broadcast_rows: int, every: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The texts (h, tid), links (a, b) that connect the classes, and the number of links of each text (h, links) with ``every``.
+
+    1. A bucket's members are compared with its first. Each text near a first has the smallest of them for its centre.
+    2. Texts of one centre are told apart by size and distance to it only: those two decide most
+       pairs by the triangle inequality, for all texts with the same two at once. The other pairs are compared.
+    3. Members of a bucket with different centres are compared.
 
-    All pairs of a bucket are decided. Without ``every`` the first table lacks those that others connect.
+    So no table has a row for each pair, but for those that have to be compared.
     """
-    lists = docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples, share, short), "tid binary, keys array<long>, size int")
-    lists = lists.groupBy("tid").agg(F.first("keys").alias("keys"), F.first("size").alias("size"))
-    bucket = staged(lists.select("tid", "size", F.explode("keys").alias("key")), "sketches")
-    first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tid", "size")).alias("f")).where("n > 1").select("key", "n", F.col("f.tid").alias("a"), F.col("f.size").alias("a_size"))
+    texts, bucket = members(docs, gram, kept, samples, share, short)
+    first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "size")).alias("f")).where("n > 1").select("key", "n", F.col("f.h").alias("a"), F.col("f.size").alias("a_size"))
     shared = staged(bucket.join(first, "key"), "buckets")
-    members = shared.where("tid <> a")
-    # the edits are no fewer than the words that one has more than the other
-    fits = lambda x, y: F.abs(F.col(x) - F.col(y)) <= (share * F.greatest(x, y)).cast("int")
-    star = staged(members.where(fits("size", "a_size")).select("a", F.col("tid").alias("b"), "size").distinct(), "pairs")
-    one = staged(aligned(docs, star.select("a", "b"), share, broadcast_rows).where("near").join(star, ["a", "b"]).select("a", "b", "edits", "size"), "links")
-    # a member that is not near its bucket's first may be near any other one of the bucket
-    odd = members.join(one.select("a", F.col("b").alias("tid")), ["a", "tid"], "left_anti")
-    rest = met(odd.select("key", "n", F.col("tid").alias("x"), F.col("size").alias("x_size")), members.select("key", "n", F.col("tid").alias("y"), F.col("size").alias("y_size")), "key")
-    rest = rest.where((F.col("x") != F.col("y")) & fits("x_size", "y_size")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("known"))
-    if every:
-        # those near the same first: its distances to both decide most pairs (1 far, 2 near)
-        group = one.join(one.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "a")
-        side = lambda c: group.select("a", "n", F.col("b").alias(c), F.col("size").alias(f"{c}_size"), F.col("edits").alias(f"{c}_edits"))
-        pairs = met(side("x"), side("y"), "a").where("x < y").where(fits("x_size", "y_size"))
-        limit = (share * F.greatest("x_size", "y_size")).cast("int")
-        known = F.when(F.col("x_edits") + F.col("y_edits") <= limit, 2).when(F.abs(F.col("x_edits") - F.col("y_edits")) > limit, 1).otherwise(0)
-        rest = rest.union(pairs.select(F.col("x").alias("a"), F.col("y").alias("b"), known.alias("known")))
-    rest = staged(rest.groupBy("a", "b").agg(F.max("known").alias("known")).join(star, ["a", "b"], "left_anti"), "more-pairs")
-    two = aligned(docs, rest.where("known = 0").select("a", "b"), share, broadcast_rows).where("near")
-    enough = staged(one.select("a", "b").union(two.select("a", "b")), "verified")
-    return enough.union(rest.where("known = 2").select("a", "b")), enough
-
-
-def aligned(docs: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) with their texts compared; (a, b, edits, near)."""
-    wanted = pairs.select(F.col("a").alias("tid")).union(pairs.select("b")).distinct()
-    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows  # 16 bytes each
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "tid", "left_semi").select("tid", "doc_id", "text")
-    texts = staged(texts.groupBy("tid").agg(F.first("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("text").alias("text_b")), "b")
-    tasks = docs.sparkSession.sparkContext.defaultParallelism * 4
-    return both.select("a", "b", "text_a", "text_b").repartition(max(tasks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "a", "b").mapInArrow(verify(share), "a binary, b binary, edits long, near boolean")
+    star = staged(shared.where("h <> a").where(fits(share, "size", "a_size")).select("a", F.col("h").alias("b"), "size", "a_size").distinct(), "pairs")
+    same = lambda df, a, b: aligned(docs, texts, df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), share, broadcast_rows).where("near").select("a", "b", "edits")
+    one = staged(same(star, "a", "b").join(star, ["a", "b"]), "links")
+    near = one.groupBy(F.col("b").alias("h")).agg(F.min(F.struct("a", "size", "edits")).alias("c")).select("h", F.col("c.a").alias("p"), F.col("c.size").alias("size"), F.col("c.edits").alias("edits"))
+    alone = one.select(F.col("a").alias("h"), F.col("a").alias("p"), F.col("a_size").alias("size"), F.lit(0).cast("long").alias("edits")).distinct().join(near, "h", "left_anti")
+    centre = staged(near.unionByName(alone), "centres")
+    # members of a bucket with different centres
+    placed = shared.join(centre.select("h", "p"), "h", "left").withColumn("p", F.coalesce("p", "h"))
+    mixed = placed.groupBy("key").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high").select("key", "n")
+    placed = staged(placed.drop("n", "a_size").join(mixed, "key"), "mixed")
+    if not every:  # what is near a bucket's first is connected by it
+        by = one.select("a", F.col("b").alias("h"), F.lit(True).alias("at"))
+        placed = placed.join(by, ["a", "h"], "left").withColumn("at", (F.col("h") == F.col("a")) | F.col("at").isNotNull())
+    side = lambda c: placed.select("key", "n", F.col("h").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in (["size", "p"] + ["at"] * (not every))])
+    rest = met(side("x"), side("y"), "key").where("x < y AND x_p <> y_p").where(fits(share, "x_size", "y_size"))
+    if not every:
+        rest = rest.where("NOT (x_at AND y_at)")
+    rest = rest.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    two = staged(same(rest, "a", "b"), "more-links")
+    enough = one.select("a", "b").union(two.select("a", "b"))
+    if not every:
+        return texts, enough, None
+    kinds = centre.groupBy("p", "size", "edits").agg(F.count(F.lit(1)).alias("c"))
+    kind = lambda x: kinds.select("p", *[F.col(c).alias(f"{x}_{c}") for c in ("size", "edits", "c")])
+    both = kind("x").join(kind("y"), "p").where(fits(share, "x_size", "y_size")).where(F.abs(F.col("x_edits") - F.col("y_edits")) <= limit(share, "x_size", "y_size"))
+    sure = F.col("x_edits") + F.col("y_edits") <= limit(share, "x_size", "y_size")
+    self = (F.col("x_size") == F.col("y_size")) & (F.col("x_edits") == F.col("y_edits"))
+    many = both.where(sure).groupBy("p", F.col("x_size").alias("size"), F.col("x_edits").alias("edits")).agg(F.sum(F.col("y_c") - self.cast("int")).alias("links"))
+    open_ = both.where(~sure).where("x_size < y_size OR x_size = y_size AND x_edits <= y_edits").where(~self | (F.col("x_c") > 1)).drop("x_c", "y_c")
+    own = lambda x: centre.select("p", F.col("h").alias(x), F.col("size").alias(f"{x}_size"), F.col("edits").alias(f"{x}_edits"))
+    unsure = open_.join(own("x"), ["p", "x_size", "x_edits"]).join(own("y"), ["p", "y_size", "y_edits"]).where((F.col("x") < F.col("y")) | ~self)
+    three = same(unsure, "x", "y")
+    # links of the first kind between texts of different centres; those of one centre are in the counts
+    where = centre.select("h", "p")
+    across = one.select("a", "b").join(where.select(F.col("h").alias("a"), F.col("p").alias("pa")), "a").join(where.select(F.col("h").alias("b"), F.col("p").alias("pb")), "b").where("pa <> pb")
+    single = across.select("a", "b").union(two.select("a", "b")).union(three.select("a", "b"))
+    ends = single.select(F.col("a").alias("h")).union(single.select("b")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
+    links = centre.join(many, ["p", "size", "edits"]).select("h", "links").unionByName(ends).groupBy("h").agg(F.sum("links").alias("links"))
+    return texts, enough, links
+
+
+def aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) that may be near, with their texts compared; (a, b, edits, near)."""
+    own = lambda x, h: texts.select(F.col("h").alias(h), F.col("size").alias(f"{x}_size"), F.col("counts").alias(f"{x}_counts"))
+    pairs = staged(pairs.join(own("x", "a"), "a").join(own("y", "b"), "b").mapInArrow(possible(share), "a long, b long"), "possible")
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(texts.select("h", "tid"), "h")
+    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows  # 24 bytes each
+    body = docs.join(F.broadcast(wanted) if few else wanted, "tid").groupBy("h").agg(F.first("text").alias("text"))
+    body = staged(body, "bodies")
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    half = pairs.join(body.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").repartition(tasks, "b")
+    both = half.join(body.select(F.col("h").alias("b"), F.col("text").alias("text_b")).repartition(tasks, "b").hint("merge"), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(verify(share), "a long, b long, edits long, near boolean")
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 2, kept: int = 3, samples: int = 64, share: float = 0.2, short: int = 36, broadcast_rows: int = 1_000_000, every: bool = True) -> DataFrame:
-    """(tid, root, links) of every text that has a near duplicate; tid stands for the text. Only with ``every`` the links are all."""
+    """(tid, root, links) of every text that has a near duplicate; tid stands for the text, root for its class. Links are null without ``every``."""
     docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text")))
-    links, enough = linked(docs, gram, kept, samples, share, short, broadcast_rows, every)
-    root = components(df.sparkSession, enough)
-    ends = links.select(F.col("a").alias("tid")).union(links.select("b")).groupBy("tid").agg(F.count(F.lit(1)).alias("links"))
-    return staged(root.join(ends, "tid"), "classes")
+    texts, enough, links = linked(docs, gram, kept, samples, share, short, broadcast_rows, every)
+    root = components(df.sparkSession, enough).withColumnRenamed("tid", "h")
+    name = texts.select("h", "tid")
+    out = root.join(name, "h").join(name.select(F.col("h").alias("root"), F.col("tid").alias("named")), "root").select("h", "tid", F.col("named").alias("root"))
+    out = out.join(links, "h") if links is not None else out.withColumn("links", F.lit(None).cast("long"))
+    return staged(out.select("tid", "root", "links"), "classes")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **settings) -> DataFrame:
@@ -229,11 +388,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     Texts are sequences of words (letters in lower case). Each of ``samples`` samples takes the
     ``kept`` smallest k-mers of ``gram`` words under its own hash, where equal k-mers are told apart by
     their number of occurrence, and keeps their order in the text; texts with an equal sample are
-    candidates, and so are, without loss, texts of at most ``short`` words within the edit budget. A pair is near if it takes at most ``share`` edits per word of the longer text. In
-    each bucket all pairs are decided: all texts are aligned with its first, and other pairs too unless
-    their distances to the first decide them (by the triangle inequality). Classes are what links connect.
+    candidates, and so are, without loss, texts of at most ``short`` words within the edit budget. A pair is near if it
+    takes at most ``share`` edits per word of the longer text. All candidates are decided, and all pairs of texts near the same
+    first of a bucket: by their distances to it where the triangle inequality suffices, else by alignment. Word
+    counts that differ by more than the budget settle a pair before its texts are sent. Classes are what links connect.
 
-    ``copies`` counts the rows of the same text, ``links`` the different texts among its candidates that it is near,
+    ``copies`` counts the rows of the same text, ``links`` the different texts that it is near, among those decided,
     ``class_id`` is the smallest id in the class. Equal texts are always in one class, all null and
     empty texts too. Repeated rows are rows; ids may be null (they are no class_id); an empty
     table gives no rows. Other columns are ignored.
@@ -254,8 +414,9 @@ def keep_one(df: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     ids = df.select(F.col(id_column).alias("i"), key.alias("t"))
     per = ids.groupBy("t").agg(F.min("i").alias("i")).join(known.select(F.col("tid").alias("t"), "root"), "t", "left")
     # the smallest id of each text, and of those the smallest of each class
-    stay = per.groupBy(F.coalesce("root", "t").alias("r")).agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "t")).alias("s")).select(F.col("s.t").alias("__t"), F.col("s.i").alias("__i"))
-    named = df.withColumn("__key", key)
-    kept = named.join(stay, (named["__key"] == stay["__t"]) & named[id_column].eqNullSafe(stay["__i"]), "left_semi")
+    mark, t, i = unused(df, "key", "text", "id")
+    stay = per.groupBy(F.coalesce("root", "t").alias("r")).agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "t")).alias("s")).select(F.col("s.t").alias(t), F.col("s.i").alias(i))
+    named = df.withColumn(mark, key)
+    kept = named.join(stay, (named[mark] == stay[t]) & named[id_column].eqNullSafe(stay[i]), "left_semi")
     twice = ids.groupBy("t", "i").count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["__key"]) if twice else kept).drop("__key")
+    return (kept.dropDuplicates([mark]) if twice else kept).drop(mark)
