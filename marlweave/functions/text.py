@@ -46,7 +46,10 @@ def latin_words(x: str | Column) -> Column:
 
 
 def latin_tokens(x: str | Column) -> Column:
-    return F.transform(latin_words(x), s_stem)
+    """The words of a text, each as ``s_stem`` has it; the endings are cut from the whole text, which stays in compiled code."""
+    singular = F.regexp_replace(lower(x), "(?<=[b-df-z0-9])ies(?![a-z0-9])", "y")
+    singular = F.regexp_replace(singular, "(?<=[a-z0-9]{2}[a-rtv-z0-9])s(?![a-z0-9])", "")
+    return F.regexp_extract_all(singular, F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def bigram_strings(run: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql.window import Window
 
 from ..config import DEFAULT, Config
 from ..functions.text import query_tokens, tokens
+from ..sources.scratch import kept
 from . import graph
+from .containment import bounded
 
 
 def with_title_seeds(hits: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -78,6 +80,22 @@ def mmr(candidates: DataFrame, lam: float = DEFAULT.mmr_lambda, k: int = DEFAULT
     return rows.groupBy("query_id").applyInPandas(choose, f"query_id {kind}, pick int, rank int, text string")
 
 
+def rank_shared_relations(relations: DataFrame, queries: DataFrame, limit: int = DEFAULT.rel_limit) -> DataFrame:
+    """``rank_relations`` where all questions choose from the same relations (relation, pos).
+
+    Questions meet relations by their terms; the first ones in order fill up lists with too few hits.
+    """
+    once = kept(relations.groupBy("relation").agg(F.min("pos").alias("pos")), "relations")
+    asked = bounded(kept(queries.select("query_id", F.explode(F.array_distinct(query_tokens("question"))).alias("term")), "asked-terms"))
+    met = once.select("relation", "pos", F.explode(F.array_distinct(tokens("relation"))).alias("term")).join(asked, "term").groupBy("query_id", "relation").agg(F.count(F.lit(1)).cast("int").alias("hits"), F.first("pos").alias("pos"))
+    # of the first 2 * limit at least limit have no hit, if fewer than limit have one
+    first = once.orderBy("pos", "relation").limit(2 * limit)
+    rows = met.unionByName(queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "relation", F.lit(0).alias("hits"), "pos"))
+    rows = rows.groupBy("query_id", "relation").agg(F.max("hits").alias("hits"), F.first("pos").alias("pos"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("hits"), "pos")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "relation", "hits", "rank")
+
+
 def rank_relations(relations: DataFrame, queries: DataFrame, limit: int = DEFAULT.rel_limit) -> DataFrame:
     """(query_id, relation, hits, rank): distinct relations by the question's terms they hold, then first sight.
 

@@ -12,6 +12,7 @@ from ..config import DEFAULT, Config
 from ..functions import hangul
 from ..functions.text import query_tokens, tokens
 from ..sources.scratch import kept
+from .containment import bounded
 
 FIELDS = ("title", "body", "memory")
 
@@ -25,11 +26,11 @@ def tokenized(chunks: DataFrame, memory: DataFrame | None = None) -> DataFrame:
     return base.join(said.select("slot", tokens("said").alias("memory_tokens")), "slot", "left").withColumn("memory_tokens", F.coalesce("memory_tokens", F.array().cast("array<string>")))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """(slot, term, tf_title, tf_body, tf_memory), one row for each term of a chunk."""
-    tag = lambda k: lambda t: F.struct(F.lit(k).alias("f"), t.alias("t"))
-    tagged = F.concat(*[F.transform(f"{f}_tokens", tag(k)) for k, f in enumerate(FIELDS)])
-    rows = docs.select("slot", F.explode(tagged).alias("x")).select("slot", F.col("x.t").alias("term"), F.col("x.f").alias("f"))
+def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(slot, term, tf_title, tf_body, tf_memory), one row for each term of a chunk; with ``only`` (term), of those terms."""
+    rows = docs.select("slot", F.posexplode(F.array(*[f"{f}_tokens" for f in FIELDS])).alias("f", "t")).select("slot", "f", F.explode("t").alias("term"))
+    if only is not None:
+        rows = rows.join(only, "term", "left_semi")
     return rows.groupBy("slot", "term").agg(*[F.sum((F.col("f") == k).cast("long")).alias(f"tf_{f}") for k, f in enumerate(FIELDS)])
 
 
@@ -43,10 +44,13 @@ class Index:
     terms: DataFrame
 
     @staticmethod
-    def of(docs: DataFrame | Index) -> Index:
+    def of(docs: DataFrame | Index, terms: DataFrame | None = None) -> Index:
+        """An index as it is, or one of tokenized chunks for these terms (term) alone."""
         if isinstance(docs, Index):
             return docs
-        index = postings(docs)
+        index = postings(docs, None if terms is None else bounded(terms.select("term").distinct()))
+        if terms is not None:
+            index = kept(index, "postings")
         return Index(index, lengths(docs), field_stats(docs), term_stats(index))
 
     @staticmethod
@@ -68,6 +72,13 @@ def field_stats(docs: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("n"), *[average(f) for f in FIELDS])
 
 
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, df, dfe) as ``term_stats`` of all postings has it, counted from tokens without building them."""
+    content = docs.select(F.explode(F.array_distinct(F.concat("title_tokens", "body_tokens"))).alias("term"), F.lit(1).alias("c"), F.lit(0).alias("e"))
+    memory = docs.where(F.size("memory_tokens") > 0).select(F.explode(F.array_distinct("memory_tokens")).alias("term"), F.lit(0).alias("c"), F.lit(1).alias("e"))
+    return content.unionByName(memory).groupBy("term").agg(F.sum("c").alias("df"), F.sum("e").alias("dfe"))
+
+
 def term_stats(index: DataFrame) -> DataFrame:
     """(term, df, dfe): chunks with the term in their content, and in their memory."""
     content = (F.col("tf_title") + F.col("tf_body")) > 0
@@ -94,11 +105,12 @@ def bm25(docs: DataFrame | Index, queries: DataFrame, config: Config = DEFAULT,
 
     ``complete`` tells that a whole Korean stem of the question was met.
     """
-    ix = Index.of(docs)
+    terms = kept(query_terms(queries), "terms")
+    ix = Index.of(docs, terms)
     index = ix.postings.where("tf_body > 0").select("slot", "term", F.col("tf_body").alias("tf"))
-    rarity = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    terms = query_terms(queries)
-    hits = index.join(terms, "term").join(rarity, "term").join(ix.lengths.select("slot", "len_body"), "slot").crossJoin(F.broadcast(ix.stats.select("n", "avg_body")))
+    # frequent terms have many postings: the question's side is sent to them, with the rarity of its terms
+    rarity = index.join(bounded(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = index.join(bounded(kept(terms.join(rarity, "term"), "asked-terms")), "term").join(ix.lengths.select("slot", "len_body"), "slot").crossJoin(F.broadcast(ix.stats.select("n", "avg_body")))
     length = F.greatest("len_body", F.lit(1)) / F.col("avg_body")
     weight = idf(F.col("n"), F.col("df"), config.idf_pow) * (config.k1 + 1) * F.col("tf") / (F.col("tf") + config.k1 * (1 - config.b + config.b * length))
     times = F.col("qtf") if multiplicity else F.lit(1)
@@ -111,9 +123,9 @@ def bm25f(docs: DataFrame | Index, queries: DataFrame, config: Config = DEFAULT)
     Memory is not normalised by length, counts in no content frequency, and lends a term its
     rarity only where no content has the term. A repeated question term counts once.
     """
-    ix = Index.of(docs)
-    terms = query_terms(queries).drop("qtf")
-    hits = ix.postings.join(terms, "term").join(ix.terms, "term").join(ix.lengths, "slot").crossJoin(F.broadcast(ix.stats))
+    terms = kept(query_terms(queries).drop("qtf"), "terms")
+    ix = Index.of(docs, terms)
+    hits = ix.postings.join(bounded(kept(terms.join(ix.terms, "term"), "asked-terms")), "term").join(ix.lengths, "slot").crossJoin(F.broadcast(ix.stats))
     part = lambda f, w: w * F.col(f"tf_{f}") / (1 - config.b + config.b * (F.greatest(f"len_{f}", F.lit(1)) / F.col(f"avg_{f}")))
     tf = part("title", config.title_weight) + part("body", config.body_weight) + config.memory_weight * F.col("tf_memory")
     df = F.coalesce(F.nullif("df", F.lit(0)), F.col("dfe"))

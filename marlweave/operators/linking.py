@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens, with_title_aliases, with_title_match
+from ..sources.scratch import kept
+from .containment import contained
 
 
 def unique_aliases(chunks: DataFrame) -> DataFrame:
@@ -18,17 +20,15 @@ def unique_aliases(chunks: DataFrame) -> DataFrame:
 def title_links(chunks: DataFrame) -> DataFrame:
     """(s, p, o): a chunk references every other chunk whose unambiguous name stands in its text.
 
-    Names are met by an equi-join on runs of tokens as long as some name, not by comparing every
-    text with every title.
+    Texts and names are met as runs of tokens between blanks: each name is looked up by the rarest of its tokens.
     """
-    aliases = unique_aliases(chunks)
-    widths = aliases.select("width").distinct()
-    texts = chunks.select("chunk_id", tokens("text").alias("t")).where(F.size("t") > 1)
-    # few widths: the lengths of titles in tokens
-    spread = texts.join(widths, F.size("t") >= F.col("width"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("t") - F.col("width")), lambda i: F.array_join(F.slice("t", i + 1, F.col("width")), " "))
-    runs = spread.select("chunk_id", "width", F.explode(F.array_distinct(grams)).alias("alias"))
-    return runs.join(aliases, ["alias", "width"]).where("chunk_id <> target").select(F.col("chunk_id").alias("s"), F.lit("references").alias("p"), F.col("target").alias("o")).distinct()
+    aliases = kept(unique_aliases(chunks), "aliases")
+    line = lambda t: F.concat(F.lit("| "), F.array_join(t, " "), F.lit(" |"))
+    texts = kept(chunks.select("chunk_id", tokens("text").alias("t")).where(F.size("t") > 1).select(F.col("chunk_id").alias("text_id"), line("t").alias("text")), "token-lines")
+    # the bars at both ends make words of the first and last token too
+    names = aliases.select(F.col("alias").alias("pattern_id"), F.concat(F.lit(" "), "alias", F.lit(" ")).alias("pattern"))
+    found = contained(texts, names, whole_words=True).join(aliases.select(F.col("alias").alias("pattern_id"), "target"), "pattern_id")
+    return found.where("text_id <> target").select(F.col("text_id").alias("s"), F.lit("references").alias("p"), F.col("target").alias("o")).distinct()
 
 
 def title_seeds(label_hits: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:

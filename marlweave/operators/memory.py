@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .containment import contained
+
 
 def remember(memory: DataFrame, events: DataFrame) -> DataFrame:
     """Adds (chunk_id, query, seq) events; blank questions and known pairs change nothing."""
@@ -42,10 +44,10 @@ def fuse_facts(facts: DataFrame, new: DataFrame) -> DataFrame:
 def auto_entities(notes: DataFrame, labels: DataFrame) -> DataFrame:
     """(note_id, entities): known labels of two characters or more that stand in a note's text, sorted.
 
-    Labels can be any substring, so every note meets every label; the labels are the smaller side.
+    Notes and labels are met by words or pairs of characters, see ``containment``.
     """
-    known = labels.where(F.length("label") >= 2).select("label").distinct()
-    hits = notes.join(known, notes["text"].contains(known["label"])).groupBy("note_id").agg(F.array_sort(F.collect_set("label")).alias("entities"))
+    known = labels.where(F.length("label") >= 2).select(F.col("label").alias("pattern_id"), F.col("label").alias("pattern")).distinct()
+    hits = contained(notes.select(F.col("note_id").alias("text_id"), "text"), known).groupBy(F.col("text_id").alias("note_id")).agg(F.array_sort(F.collect_set("pattern_id")).alias("entities"))
     return notes.select("note_id").join(hits, "note_id", "left").select("note_id", F.coalesce("entities", F.array().cast("array<string>")).alias("entities"))
 
 

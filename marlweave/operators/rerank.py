@@ -11,6 +11,7 @@ from ..functions.text import is_personal, pairs, query_tokens, surface_score, to
 from ..functions.vectors import cosine, minmax
 from ..sources.scratch import kept
 from . import lexical
+from .containment import bounded
 
 
 def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -22,13 +23,17 @@ def rerank(ranked: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFram
     """
     w = Window.partitionBy("query_id")
     asked = queries.select("query_id", "question", query_tokens("question").alias("q"), is_personal("question").alias("personal"))
-    # only the frontier meets the texts
-    rows = ranked.join(asked, "query_id").join(chunks.select("slot", "title", "text"), "slot")
+    # only the frontier meets the texts, and each text is tokenized once
+    few = bounded(ranked.select("slot").distinct())
+    near = chunks.select("slot", "title", "text").join(few, "slot", "left_semi")
+    near = kept(near.withColumn("line", F.concat(F.lit(" "), F.array_join(tokens(F.concat_ws(" ", "title", "text")), " "), F.lit(" "))), "frontier-texts")
+    rows = ranked.join(asked, "query_id").join(near, "slot")
     rows = rows.withColumn("top", F.max(F.when(F.col("rank") == 1, F.col("score"))).over(w)).withColumn("hits", F.count(F.lit(1)).over(w))
     rows = rows.withColumn("open", (F.col("hits") >= 2) & (F.size("q") >= 3))
-    # what is used more than once is a column of its own, so that it is computed once
-    rows = rows.withColumn("tokens", tokens(F.concat_ws(" ", "title", "text"))).withColumns({"q_pairs": pairs(F.col("q")), "pairs": pairs(F.col("tokens"))})
-    fraction = F.when(F.size("q_pairs") == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect("q_pairs", "pairs")) / F.size("q_pairs"))
+    # tokens hold no blank, so a pair stands in the line of tokens if and only if the two are neighbours
+    rows = rows.withColumn("q_pairs", pairs(F.col("q")))
+    both = F.size(F.filter("q_pairs", lambda p: F.col("line").contains(F.concat(F.lit(" "), p, F.lit(" ")))))
+    fraction = F.when(F.size("q_pairs") == 0, F.lit(0.0)).otherwise(both / F.size("q_pairs"))
     rows = rows.withColumn("lifted", F.when(F.col("open"), F.round(F.col("score") + F.col("top") * 0.5 * fraction, 9)).otherwise(F.col("score")))
     by_phrase = Window.partitionBy("query_id").orderBy(F.when(~F.col("open"), F.col("rank")), F.desc("lifted"), "slot")
     rows = rows.withColumn("phrase", F.row_number().over(by_phrase))

@@ -203,7 +203,7 @@ def mmr_select(spark: SparkSession, d: str) -> DataFrame:
 def rank_relations(spark: SparkSession, d: str) -> DataFrame:
     x, q = engine(spark, d)
     named_edges = graph.labelled(x.edges, x.nodes).select(F.concat_ws(" → ", "s_label", "p", "o_label").alias("relation"), "pos")
-    return fusion.rank_relations(named_edges.join(q.select("query_id")), q).select("query_id", "relation", F.col("hits").cast("long").alias("hits"), "rank")
+    return fusion.rank_shared_relations(named_edges, q).select("query_id", "relation", F.col("hits").cast("long").alias("hits"), "rank")
 
 
 RANK_RELATIONS = f"""WITH {sql.QUESTIONS}, {NEXT}, lab AS (SELECT doc_id, substr(text, 1, 80) AS l FROM documents WHERE text <> ''),

@@ -27,7 +27,7 @@ TOKENS_PER_DOC = f"WITH {sql.DOCS} SELECT slot AS doc_id, CAST(len(b) AS BIGINT)
 
 
 def vocab_df(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.term_stats(lexical.postings(docs(spark, d))).select("term", "df", "dfe")
+    return lexical.vocabulary(docs(spark, d)).select("term", "df", "dfe")
 
 
 VOCAB_DF = f"WITH {sql.DOCS}, {sql.POSTINGS} SELECT term, count(*) AS df, CAST(0 AS BIGINT) AS dfe FROM post GROUP BY term"
@@ -75,7 +75,7 @@ FIELD_STATS = f"WITH {sql.DOCS}, {sql.STATS} SELECT n, round(avg_t, 6) AS avg_ti
 
 def idf_table(spark: SparkSession, d: str) -> DataFrame:
     x = docs(spark, d)
-    return lexical.term_stats(lexical.postings(x)).crossJoin(F.broadcast(lexical.field_stats(x))).select("term", "df", R6(lexical.idf(F.col("n"), F.col("df"))).alias("idf"))
+    return lexical.vocabulary(x).crossJoin(F.broadcast(lexical.field_stats(x))).select("term", "df", R6(lexical.idf(F.col("n"), F.col("df"))).alias("idf"))
 
 
 IDF_TABLE = f"WITH {sql.DOCS}, {sql.POSTINGS}, {sql.STATS}, d AS (SELECT term, count(*) AS df FROM post GROUP BY term) SELECT term, df, round({sql.idf('df')}, 6) AS idf FROM d CROSS JOIN stats"
@@ -174,10 +174,9 @@ PERSONAL_FLAG = f"SELECT conv_id, turn, len(list_intersect(regexp_extract_all(re
 
 
 def vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors as chunks; the first of each label asks."""
+    """Vectors as chunks; those whose id is divisible by 20 ask."""
     e = tables.read(spark, d, "embeddings")
-    asks = e.groupBy("label").agg(F.min("vec_id").alias("vec_id"))
-    return e.select(F.col("vec_id").alias("slot"), "embedding"), e.join(asks, ["label", "vec_id"], "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    return e.select(F.col("vec_id").alias("slot"), "embedding"), e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +184,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     return rerank.dense_search(c, q, 20).select("query_id", F.col("slot").alias("vec_id"), "rank", R6("score").alias("score"))
 
 
-DENSE = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), ask AS (SELECT min(vec_id) AS vec_id FROM v GROUP BY label), pairs AS (SELECT a.vec_id AS query_id, c.vec_id AS slot, list_cosine_similarity(a.e, c.e) AS score FROM ask JOIN v a USING (vec_id) CROSS JOIN v c), dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slot) AS rank FROM pairs) WHERE rank <= 20)"
+DENSE = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), ask AS (SELECT vec_id FROM v WHERE vec_id % 20 = 0), pairs AS (SELECT a.vec_id AS query_id, c.vec_id AS slot, list_cosine_similarity(a.e, c.e) AS score FROM ask JOIN v a USING (vec_id) CROSS JOIN v c), dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slot) AS rank FROM pairs) WHERE rank <= 20)"
 COSINE_TOPK = f"WITH {DENSE} SELECT query_id, slot AS vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM dense"
 
 

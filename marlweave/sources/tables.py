@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.containment import contained
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -31,8 +33,9 @@ def questions(spark: SparkSession, sf_dir: str, prefix: str = "") -> DataFrame:
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, doc): documents that hold the passage word for word."""
-    q, d = questions(spark, sf_dir), read(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(q, d["text"].contains(q["question"])).select("query_id", F.col("doc_id").alias("doc"))
+    q = questions(spark, sf_dir).select(F.col("query_id").alias("pattern_id"), F.col("question").alias("pattern"))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return contained(d, q).select(F.col("pattern_id").alias("query_id"), F.col("text_id").alias("doc"))
 
 
 def chunk_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
