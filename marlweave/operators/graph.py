@@ -25,6 +25,11 @@ def derive_nodes(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame
     return nodes.select("node_id", F.coalesce("label", "node_id").alias("label"), F.when(F.col("c"), "class").otherwise("instance").alias("kind"), "pos")
 
 
+def get_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node_id, label, kind) of the ids asked for (node_id); label and kind are null for what is no node."""
+    return ids.select("node_id").distinct().join(nodes.select("node_id", "label", "kind"), "node_id", "left")
+
+
 def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pos, s, p, o, s_label, o_label); what is no node stands for itself."""
     name = lambda end: nodes.select(F.col("node_id").alias(end), F.col("label").alias(f"{end}_label"))

@@ -38,6 +38,71 @@ def per_query(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def _gain(rank):
+    return 1.0 / F.log2(rank + 1.0)
+
+
+def _ideal(many):
+    """DCG of so many hits in the first places."""
+    return F.aggregate(F.when(many > 0, F.sequence(F.lit(1), many.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, i: s + _gain(i.cast("double")))
+
+
+def once(ranked: DataFrame) -> DataFrame:
+    """(query_id, doc, rank) with each document at its first place, and ranks without gaps."""
+    first = ranked.groupBy("query_id", "doc").agg(F.min("rank").alias("r"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("r", "doc"))).drop("r")
+
+
+def end_to_end(ranked: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """Metrics of the first ``k`` different documents, with precision over k, whether any and all were hit."""
+    top = once(ranked).where(F.col("rank") <= k)
+    rows = judged(top, qrels).groupBy("query_id", F.col("relevant").alias("gold")).agg(
+        F.count("rank").alias("retrieved"), F.sum("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, _gain(F.col("rank"))).otherwise(0.0)).alias("dcg")
+    )
+    p, r = F.col("hits") / F.lit(k), F.col("hits") / F.col("gold")
+    return rows.select(
+        "query_id", "retrieved", "gold", "hits", p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
+        (F.col("hits") > 0).alias("hit"), (F.col("hits") == F.col("gold")).alias("all_gold"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"), (F.col("dcg") / _ideal(F.least("gold", F.lit(k)))).alias("ndcg"),
+    )
+
+
+def sessions(ranked: DataFrame, qrels: DataFrame) -> DataFrame:
+    """Metrics over different sessions: the ideal has as many hits as there are gold sessions, but no more than were retrieved.
+
+    Questions without gold sessions are not eligible and have no values.
+    """
+    found = once(ranked)
+    gold = qrels.select("query_id", "doc").distinct()
+    have = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("gold"))
+    got = found.join(gold.withColumn("hit", F.lit(1)), ["query_id", "doc"], "left").groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("retrieved"), F.count("hit").alias("hits"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, _gain(F.col("rank"))).otherwise(0.0)).alias("dcg")
+    )
+    rows = got.join(have, "query_id", "full").withColumns({"gold": F.coalesce("gold", F.lit(0)), "retrieved": F.coalesce("retrieved", F.lit(0)), "hits": F.coalesce("hits", F.lit(0)), "dcg": F.coalesce("dcg", F.lit(0.0))})
+    best = F.least("gold", "retrieved")
+    some = F.col("gold") > 0
+    return rows.select(
+        "query_id", some.alias("eligible"), "gold", "retrieved", "hits", F.when(some, F.col("hits") / F.col("gold")).alias("session_recall"), F.when(some, F.col("hits") > 0).alias("session_hit"),
+        F.when(some, F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("rr"), F.when(some, F.when(best > 0, F.col("dcg") / _ideal(best)).otherwise(0.0)).alias("ndcg"),
+    )
+
+
+def memory_effect(cold: DataFrame, warm: DataFrame, covered: DataFrame, metric: str) -> DataFrame:
+    """(covered, n, cold, warm, delta): means of a metric without and with memory, apart for questions that memory covers.
+
+    With shuffled or random memory for ``warm`` the same gives the placebo.
+    """
+    both = cold.select("query_id", F.col(metric).alias("x")).join(warm.select("query_id", F.col(metric).alias("y")), "query_id")
+    both = both.join(covered.select("query_id", F.lit(True).alias("covered")).distinct(), "query_id", "left").withColumn("covered", F.col("covered").isNotNull())
+    return both.groupBy("covered").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("cold"), F.avg("y").alias("warm"), F.avg(F.col("y") - F.col("x")).alias("delta"))
+
+
+def best_chunk(chunks: DataFrame, low: int = 300, high: int = 2500) -> DataFrame:
+    """(doc, chunk_id, size): of each document the longest chunk of ``low`` to ``high`` characters, ties to the smaller id."""
+    sized = chunks.select("doc", "chunk_id", F.length("text").alias("size")).where(F.col("size").between(low, high))
+    best = sized.groupBy("doc").agg(F.min(F.struct((-F.col("size")).alias("s"), "chunk_id")).alias("b"))
+    return best.select("doc", F.col("b.chunk_id").alias("chunk_id"), (-F.col("b.s")).alias("size"))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """Macro means over questions."""
     names = ("precision", "recall", "f1", "rr", "ndcg")

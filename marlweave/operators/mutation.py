@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .numbering import numbered
 
 CONTENT = ("title", "text", "entities", "embedding", "meta")
 
@@ -30,9 +31,9 @@ def upsert(chunks: DataFrame, batch: DataFrame, next_slot: int) -> DataFrame:
     Slots are never used twice; ``next_slot`` is the high-water mark of the table's manifest.
     """
     known = chunks.select("chunk_id", F.col("slot"))
-    fresh = batch.join(known, "chunk_id", "left_anti").select("chunk_id")
-    numbered = fresh.withColumn("slot", F.lit(next_slot - 1) + F.row_number().over(Window.orderBy("chunk_id"))) if "pos" not in batch.columns else batch.join(known, "chunk_id", "left_anti").select("chunk_id", (F.lit(next_slot - 1) + F.row_number().over(Window.orderBy("pos"))).alias("slot"))
-    slots = known.join(batch.select("chunk_id"), "chunk_id", "left_semi").unionByName(numbered)
+    order = ["pos", "chunk_id"] if "pos" in batch.columns else ["chunk_id"]
+    fresh = batch.join(known, "chunk_id", "left_anti").select(*order)
+    slots = known.join(batch.select("chunk_id"), "chunk_id", "left_semi").unionByName(numbered(fresh, order, "slot", next_slot).select("chunk_id", "slot"))
     columns = [c for c in chunks.columns if c not in ("chunk_id", "slot")]
     new = batch.join(slots, "chunk_id").select("chunk_id", "slot", *columns)
     return chunks.join(batch.select("chunk_id"), "chunk_id", "left_anti").select("chunk_id", "slot", *columns).unionByName(new)
@@ -85,10 +86,10 @@ def modes(chunks: DataFrame) -> DataFrame:
 
 def hash_groups(rows: DataFrame, seed: str, sizes: dict[str, int], key: str = "chunk_id") -> DataFrame:
     """(key, group): disjoint groups of the given sizes in order of a seeded SHA-256."""
-    order = F.row_number().over(Window.orderBy(F.sha2(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string")), 256), key))
-    numbered = rows.select(key).withColumn("r", order)
+    hashed = rows.select(key, F.sha2(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string")), 256).alias("h"))
+    first = numbered(hashed.orderBy("h", key).limit(sum(sizes.values())), ["h", key], "r", 1)
     group, at = F.lit(None).cast("string"), 0
     for name, n in sizes.items():
         group = F.when((F.col("r") > at) & (F.col("r") <= at + n), name).otherwise(group)
         at += n
-    return numbered.withColumn("group", group).where("group IS NOT NULL").select(key, "group")
+    return first.withColumn("group", group).where("group IS NOT NULL").select(key, "group")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,44 @@ class Engine:
     config: Config = DEFAULT
     fielded: bool = True
     built: dict = field(default_factory=dict, repr=False)
+    store: Any = None
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Lets go of the index and closes the store, if there is one. May be called again."""
+        self.built.clear()
+        if self.store is not None:
+            self.store.close()
+
+    def remember(self, query: str, ids: Any) -> int:
+        """Confirms that chunks answered a question; this engine stays at its revision, ``store.view()`` is the next."""
+        return self._mutable("remember")(query, ids)
+
+    def forget(self, query: str, ids: Any) -> int:
+        return self._mutable("forget")(query, ids)
+
+    def upsert_chunks(self, batch: DataFrame) -> dict:
+        return self._mutable("upsert_chunks")(batch)
+
+    def delete_chunks(self, ids: Any) -> dict:
+        return self._mutable("delete_chunks")(ids)
+
+    def _mutable(self, name: str) -> Callable:
+        if not hasattr(self.store, name):
+            raise TypeError(f"{type(self.store).__name__} does not support {name}")
+        return getattr(self.store, name)
+
+    def fetch(self, wanted: DataFrame) -> DataFrame:
+        """Chunks in the order asked for; wanted: pos, chunk_id."""
+        return lexical.fetch(self.chunks, wanted)
+
+    def graph(self) -> TableGraph:
+        return TableGraph(self.nodes, self.edges, self.config)
 
     def index(self) -> lexical.Index:
         """The index of the chunks, built at the first question."""
@@ -88,6 +127,33 @@ class Engine:
         return out.withColumn("evidence_nodes", text.cited_nodes(F.col("relations"), F.col("class_seed"), F.col("answer"))).select("query_id", "question", "answer", "chunks", "relations", "evidence_nodes", "class_seed", "prompt")
 
 
+@dataclass
+class TableGraph:
+    """The graph of an engine as a store of its own."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    config: Config = DEFAULT
+
+    def search_labels(self, queries: DataFrame, limit: int = DEFAULT.seed_label_limit) -> DataFrame:
+        return graph.search_labels(self.nodes, queries, limit, self.config)
+
+    def neighbors(self, seeds: DataFrame, hops: int = 1, limit: int = DEFAULT.neighbor_limit) -> DataFrame:
+        return graph.neighbors(self.edges, self.nodes, seeds, hops, limit)
+
+    def neighbor_ids(self, seeds: DataFrame, limit: int = DEFAULT.neighbor_limit, direction: str = "both") -> DataFrame:
+        return graph.neighbor_ids(self.edges, seeds, limit, direction)
+
+    def class_instances(self, limit: int = DEFAULT.instance_limit) -> DataFrame:
+        return graph.class_instances(self.edges, self.nodes, limit)
+
+    def class_counts(self) -> DataFrame:
+        return graph.class_counts(self.edges)
+
+    def get_nodes(self, ids: DataFrame) -> DataFrame:
+        return graph.get_nodes(self.nodes, ids)
+
+
 def echo(prompt: Column) -> Column:
     """What follows the first 'Question:', at most 1500 characters, under a fixed banner."""
     return F.concat(F.lit("[echo] "), F.substring(F.trim(F.regexp_extract(prompt, "(?s)Question:(.*)", 1)), 1, 1500))

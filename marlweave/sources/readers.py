@@ -36,6 +36,12 @@ def read_edges_jsonl(spark: SparkSession, path: str | None) -> DataFrame:
     return numbered(rows.where("s <> '' AND p <> '' AND o <> ''"))
 
 
+def read_nodes_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """One object a line; a missing label is the id, a missing kind is instance."""
+    rows = spark.read.schema("id string, label string, kind string").json(path).where("id IS NOT NULL")
+    return numbered(rows).select(F.col("id").alias("node_id"), F.coalesce(F.nullif("label", F.lit("")), "id").alias("label"), F.coalesce(F.nullif("kind", F.lit("")), F.lit("instance")).alias("kind"), "pos")
+
+
 def read_edges_csv(spark: SparkSession, path: str) -> DataFrame:
     """Columns s, p, o, or subject, predicate, object where those are missing or empty; incomplete rows go."""
     rows = spark.read.option("header", True).csv(path)

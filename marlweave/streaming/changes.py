@@ -2,24 +2,38 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..operators import mutation
+from ..sources import manifest
 
 LOG = "op_id long, op string, chunk_id string, title string, text string"
 COLUMNS = "chunk_id string, slot long, title string, text string"
 
 
 class ChunkStore:
-    """Chunks as a chain of Parquet versions in a folder; readers keep the version they opened."""
+    """Chunks as a chain of Parquet versions in a folder; readers keep the version they opened.
+
+    A version counts once its manifest is there, with the revision, the next slot and the last operation. Opened again, the
+    store goes on from the newest manifest, so a batch that is delivered twice changes nothing the second time.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.revision, self.next_slot, self.applied = 0, 0, -1
-        self.current = spark.createDataFrame([], COLUMNS)
+        self.number, self.revision, self.next_slot, self.applied, self.data = -1, 0, 0, -1, None
+        found = manifest.latest(spark, path)
+        if found:
+            self.number, about = found
+            self.revision, self.next_slot, self.applied, self.data = (about[k] for k in ("revision", "next_slot", "applied", "data"))
+
+    @property
+    def current(self) -> DataFrame:
+        return self.spark.read.schema(COLUMNS).parquet(self.data) if self.data else self.spark.createDataFrame([], COLUMNS)
 
     def apply(self, batch: DataFrame) -> None:
         """Applies operations newer than the last one seen, in order; of several on a chunk the last counts.
@@ -35,15 +49,17 @@ class ChunkStore:
         gone = latest.where("op = 'delete'").select("chunk_id")
         changes = mutation.compare(self.current, put, ("title", "text")).groupBy("change").count().collect()
         count = {r["change"]: r["count"] for r in changes}
+        revision, next_slot, data = self.revision, self.next_slot, self.data
         dropped = self.current.join(gone, "chunk_id", "left_semi").limit(1).count()
         if count.get("inserted") or count.get("updated") or dropped:
             out = mutation.delete(mutation.upsert(self.current, put, self.next_slot), gone)
-            self.revision += 1
-            at = f"{self.path}/version={self.revision}"
-            out.write.mode("overwrite").parquet(at)
-            self.current = self.spark.read.schema(COLUMNS).parquet(at)
-            self.next_slot += count.get("inserted", 0)
-        self.applied = max(self.applied, top)
+            revision += 1
+            data = f"{self.path}/version-{revision}-{uuid.uuid4().hex}"
+            out.write.parquet(data)
+            next_slot += count.get("inserted", 0)
+        applied = max(self.applied, top)
+        manifest.commit(self.spark, self.path, self.number + 1, {"revision": revision, "next_slot": next_slot, "applied": applied, "data": data})
+        self.number, self.revision, self.next_slot, self.applied, self.data = self.number + 1, revision, next_slot, applied, data
         latest.unpersist()
 
     def follow(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
