@@ -19,8 +19,8 @@ def resolver(width: int):
 
     Non-overlapping blocks of (width + 1) / 2 words of each context are indexed; every window of
     ``width`` words holds a whole one. Each rolling window of a block's length of all contexts
-    probes the index, at its distance from the anchor. Hits in more than one context are
-    extended: the windows around them that are equal over ``width`` words, and those side by
+    probes the index, at its distance from the anchor. Hits in more than one context, or in one
+    that occurs more than once, are extended: the windows around them that are equal over ``width`` words, and those side by
     side make up the maximal exact repeat. Members of a block are extended together, by
     the hash of what they cover, never pair by pair; windows called equal are compared word by word.
     """
@@ -37,7 +37,8 @@ def resolver(width: int):
         index = np.unique(probe[inside % block == 0])
         slot = np.minimum(np.searchsorted(index, probe), max(len(index) - 1, 0))
         known = index[slot] == probe if len(index) else np.zeros(len(probe), bool)
-        seen = np.bincount(slot[known], minlength=len(index))
+        # a context that occurs n times hits its own blocks n times
+        seen = np.bincount(slot[known], x.copies[who[known]], len(index))
         hit = known & (seen[slot] > 1)
         # windows around a hit
         near = np.zeros(len(x.values) + 2, np.int64)
@@ -58,7 +59,7 @@ def resolver(width: int):
             steps = np.arange(width)
             equal = (x.values[first[pair][:, None] + steps] == x.values[first[pair + 1][:, None] + steps]).all(axis=1)
             same[pair] = equal & (x.group[who[pair]] == x.group[who[pair + 1]]) & (place[pair] == place[pair + 1])
-        twice = np.zeros(len(key), bool)
+        twice = x.copies[who] > 1
         twice[:-1] |= same
         twice[1:] |= same
         who, place = who[twice], place[twice]

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from .alignment import distances
 from .common import BASE, U64, blocks, mix, staged, text_key, unused, utf8, whole_text
+from .packs import PACKS, Packer, range_bits, repeated, texts
 from .toxicity import words
 
 SEEDS = mix(np.arange(1, 1025, dtype=U64) * U64(BASE))
@@ -82,120 +83,34 @@ def short_keys(u: np.ndarray, share: float, short: int) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U64)
 
 
-#: What the sketches of a task are written as: a row of packed keys for each range of keys, and a row for each text.
-SKETCHES = "r int, h long, keys binary, docs binary, tid binary, size int, counts binary"
-TEXT, HOT = -1, -2
-
-
 def word_counts(u: np.ndarray) -> bytes:
     """How many words of a text fall into each of 64 classes, at most 255."""
     return np.minimum(np.bincount((u >> U64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
 
 
-def sketches(gram: int, kept: int, samples: int, share: float, short: int, ranges_bits: int, hold: int = 1 << 20, common: int = 64):
-    """Keys of the texts as rows of ``SKETCHES``.
-
-    A text is numbered by its task (copies in the same task once). Keys are packed by their leading
-    bits. Of a key that more than ``common`` texts held have, two go into the pack of
-    its range, and all others into one of their own (r = HOT), so that no range grows with a hot key.
-    """
+def sketches(gram: int, kept: int, samples: int, share: float, short: int, bits: int, common: int = 64):
+    """Packs of the keys of each text; a text that the task met before is skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        base = (task.partitionId() if task else 0) << 32
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        own: list[int] = []
-        texts: list[tuple[int, bytes, int, bytes]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal size
-            keys = np.concatenate(held)
-            docs = np.repeat(np.array(own, np.uint32), [len(k) for k in held])
-            order = np.argsort(keys, kind="stable")
-            keys, docs = keys[order], docs[order]
-            first = np.searchsorted(keys, keys, side="left")
-            many = np.searchsorted(keys, keys, side="right") - first
-            hot = (many > common) & (np.arange(len(keys)) - first >= 2)
-            rows = [(HOT, keys[hot], docs[hot])] if hot.any() else []
-            keys, docs = keys[~hot], docs[~hot]
-            r = (keys >> U64(64 - ranges_bits)).astype(np.int64) if ranges_bits else np.zeros(len(keys), np.int64)
-            cuts = np.flatnonzero(np.diff(r, prepend=-1, append=-1))
-            rows += [(int(r[x]), keys[x:y], docs[x:y]) for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
-            n, m = len(rows), len(texts)
-            none = [None] * n
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([x[0] for x in rows] + [TEXT] * m, pa.int32()),
-                    pa.array([base] * n + [base + t[0] for t in texts], pa.int64()),
-                    pa.array([x[1].tobytes() for x in rows] + [None] * m, pa.binary()),
-                    pa.array([x[2].tobytes() for x in rows] + [None] * m, pa.binary()),
-                    pa.array(none + [t[1] for t in texts], pa.binary()),
-                    pa.array(none + [t[2] for t in texts], pa.int32()),
-                    pa.array(none + [t[3] for t in texts], pa.binary()),
-                ],
-                names=[x.split()[0] for x in SKETCHES.split(", ")],
-            )
-            held.clear(), own.clear(), texts.clear()
-            size = 0
-            return out
-
+        pack = Packer({}, bits, common=common)
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             ids = batch.column(0).to_pylist()
             for a, b in blocks(offsets, 1 << 20):
                 part = offsets[a : b + 1]
                 for i, u in enumerate(units(data[part[0] : part[-1]], part - part[0])):
-                    if not len(u) or ids[a + i] in seen:
-                        continue
-                    k = sketch(u, gram, kept, samples)
-                    k = np.unique(np.concatenate([k, short_keys(u, share, short)]) if len(u) <= short else k)
-                    texts.append((len(seen), ids[a + i], len(u), word_counts(u)))
-                    own.append(len(seen))
-                    held.append(k)
-                    size += len(k)
-                    seen.add(ids[a + i])
-                if size >= hold:
-                    yield flush()
-        if held:
-            yield flush()
+                    if len(u) and pack.fresh(ids[a + i]):
+                        k = sketch(u, gram, kept, samples)
+                        k = np.unique(np.concatenate([k, short_keys(u, share, short)]) if len(u) <= short else k)
+                        number = pack.text(ids[a + i], len(u), word_counts(u))
+                        pack.add(k, np.full(len(k), number))
+                if pack.full():
+                    yield pack.flush()
+        yield pack.flush()
 
     return run
 
 
-def repeated_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs sorted by range -> key and text of every key that more than one row of a range has."""
-    now, keys, docs = None, [], []
-
-    def solve() -> pa.RecordBatch:
-        k, d = np.concatenate(keys), np.concatenate(docs)
-        order = np.argsort(k, kind="stable")
-        k, d = k[order], d[order]
-        same = k[1:] == k[:-1]
-        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return pa.RecordBatch.from_arrays([pa.array(k[twice].view(np.int64)), pa.array(d[twice])], names=["key", "h"])
-
-    for batch in batches:
-        for r, h, k, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if r != now and keys:
-                yield solve()
-                keys, docs = [], []
-            now = r
-            keys.append(np.frombuffer(k.as_py(), U64))
-            docs.append(np.frombuffer(d.as_py(), np.uint32).astype(np.int64) + h)
-    if keys:
-        yield solve()
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for h, k, d in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k.as_py(), np.int64)), pa.array(np.frombuffer(d.as_py(), np.uint32).astype(np.int64) + h)], names=["key", "h"])
-
-
 def possible(share: float):
     """Pairs with sizes and word counts -> those whose counts allow the edit budget; an edit changes a class by one at most."""
 
@@ -278,20 +193,16 @@ def met(left: DataFrame, right: DataFrame, by: str, block: int = 512) -> DataFra
 
 
 def members(docs: DataFrame, gram: int, kept: int, samples: int, share: float, short: int) -> tuple[DataFrame, DataFrame]:
-    """The texts (h, tid, size, counts), each once, and (key, h, size) of the keys that more than one text has; docs: doc_id, text, tid.
-
-    There are so many ranges of keys that one holds some four million of them.
-    """
-    bits = max(6, min(17, (docs.count() * (samples + 16) >> 22).bit_length()))
-    made = staged(docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples, share, short, bits), SKETCHES), "sketches")
-    texts = made.where(F.col("r") == TEXT).select("h", "tid", "size", "counts")
+    """The texts (h, tid, size, counts), each once, and (key, h, size) of the keys that more than one text has; docs: doc_id, text, tid."""
+    bits = range_bits(docs.count() * (samples + 16))
+    made = staged(docs.select("tid", "text").mapInArrow(sketches(gram, kept, samples, share, short, bits), PACKS), "sketches")
+    every = texts(made).withColumnRenamed("extra", "counts")
     # a text that several tasks met has a number of each; the smallest stays
-    twice = texts.groupBy("tid").agg(F.min("h").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tid", "keep")
-    gone = staged(texts.select("tid", "h").join(twice, "tid").where("h <> keep").select("h"), "copies")
-    packs = made.where(F.col("r") >= 0).select("r", "h", "keys", "docs").repartition("r").sortWithinPartitions("r")
-    found = packs.mapInArrow(repeated_keys, "key long, h long").unionByName(made.where(F.col("r") == HOT).select("r", "h", "keys", "docs").mapInArrow(unpacked, "key long, h long"))
-    found = found.join(gone, "h", "left_anti").join(texts.select("h", "size"), "h")
-    return staged(texts.join(gone, "h", "left_anti"), "texts"), staged(found, "members")
+    twice = every.groupBy("tid").agg(F.min("h").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("tid", "keep")
+    gone = staged(every.select("tid", "h").join(twice, "tid").where("h <> keep").select("h"), "copies")
+    found = repeated(made, {})
+    found = found.join(gone, "h", "left_anti").join(every.select("h", "size"), "h")
+    return staged(every.join(gone, "h", "left_anti"), "texts"), staged(found, "members")
 
 
 def fits(share: float, x: str, y: str) -> Column:
@@ -313,11 +224,11 @@ def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, sh
 
     So no table has a row for each pair, but for those that have to be compared.
     """
-    texts, bucket = members(docs, gram, kept, samples, share, short)
+    known, bucket = members(docs, gram, kept, samples, share, short)
     first = bucket.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "size")).alias("f")).where("n > 1").select("key", "n", F.col("f.h").alias("a"), F.col("f.size").alias("a_size"))
     shared = staged(bucket.join(first, "key"), "buckets")
     star = staged(shared.where("h <> a").where(fits(share, "size", "a_size")).select("a", F.col("h").alias("b"), "size", "a_size").distinct(), "pairs")
-    same = lambda df, a, b: aligned(docs, texts, df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), share, broadcast_rows).where("near").select("a", "b", "edits")
+    same = lambda df, a, b: aligned(docs, known, df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")), share, broadcast_rows).where("near").select("a", "b", "edits")
     one = staged(same(star, "a", "b").join(star, ["a", "b"]), "links")
     near = one.groupBy(F.col("b").alias("h")).agg(F.min(F.struct("a", "size", "edits")).alias("c")).select("h", F.col("c.a").alias("p"), F.col("c.size").alias("size"), F.col("c.edits").alias("edits"))
     alone = one.select(F.col("a").alias("h"), F.col("a").alias("p"), F.col("a_size").alias("size"), F.lit(0).cast("long").alias("edits")).distinct().join(near, "h", "left_anti")
@@ -337,7 +248,7 @@ def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, sh
     two = staged(same(rest, "a", "b"), "more-links")
     enough = one.select("a", "b").union(two.select("a", "b"))
     if not every:
-        return texts, enough, None
+        return known, enough, None
     kinds = centre.groupBy("p", "size", "edits").agg(F.count(F.lit(1)).alias("c"))
     kind = lambda x: kinds.select("p", *[F.col(c).alias(f"{x}_{c}") for c in ("size", "edits", "c")])
     both = kind("x").join(kind("y"), "p").where(fits(share, "x_size", "y_size")).where(F.abs(F.col("x_edits") - F.col("y_edits")) <= limit(share, "x_size", "y_size"))
@@ -354,14 +265,14 @@ def linked(docs: DataFrame, gram: int, kept: int, samples: int, share: float, sh
     single = across.select("a", "b").union(two.select("a", "b")).union(three.select("a", "b"))
     ends = single.select(F.col("a").alias("h")).union(single.select("b")).groupBy("h").agg(F.count(F.lit(1)).alias("links"))
     links = centre.join(many, ["p", "size", "edits"]).select("h", "links").unionByName(ends).groupBy("h").agg(F.sum("links").alias("links"))
-    return texts, enough, links
+    return known, enough, links
 
 
-def aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
+def aligned(docs: DataFrame, known: DataFrame, pairs: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
     """The pairs (a, b) that may be near, with their texts compared; (a, b, edits, near)."""
-    own = lambda x, h: texts.select(F.col("h").alias(h), F.col("size").alias(f"{x}_size"), F.col("counts").alias(f"{x}_counts"))
+    own = lambda x, h: known.select(F.col("h").alias(h), F.col("size").alias(f"{x}_size"), F.col("counts").alias(f"{x}_counts"))
     pairs = staged(pairs.join(own("x", "a"), "a").join(own("y", "b"), "b").mapInArrow(possible(share), "a long, b long"), "possible")
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(texts.select("h", "tid"), "h")
+    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct().join(known.select("h", "tid"), "h")
     few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows  # 24 bytes each
     body = docs.join(F.broadcast(wanted) if few else wanted, "tid").groupBy("h").agg(F.first("text").alias("text"))
     body = staged(body, "bodies")
@@ -374,9 +285,9 @@ def aligned(docs: DataFrame, texts: DataFrame, pairs: DataFrame, share: float, b
 def classes(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", gram: int = 2, kept: int = 3, samples: int = 64, share: float = 0.2, short: int = 36, broadcast_rows: int = 1_000_000, every: bool = True) -> DataFrame:
     """(tid, root, links) of every text that has a near duplicate; tid stands for the text, root for its class. Links are null without ``every``."""
     docs = df.select(F.col(id_column).alias("doc_id"), whole_text(text_column).alias("text")).withColumn("tid", text_key(F.col("text")))
-    texts, enough, links = linked(docs, gram, kept, samples, share, short, broadcast_rows, every)
+    known, enough, links = linked(docs, gram, kept, samples, share, short, broadcast_rows, every)
     root = components(df.sparkSession, enough).withColumnRenamed("tid", "h")
-    name = texts.select("h", "tid")
+    name = known.select("h", "tid")
     out = root.join(name, "h").join(name.select(F.col("h").alias("root"), F.col("tid").alias("named")), "root").select("h", "tid", F.col("named").alias("root"))
     out = out.join(links, "h") if links is not None else out.withColumn("links", F.lit(None).cast("long"))
     return staged(out.select("tid", "root", "links"), "classes")

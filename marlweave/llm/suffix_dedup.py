@@ -162,7 +162,8 @@ def resolver(width: int, gram: int):
     at one. The suffixes from these places are sorted; a suffix's longest common extension
     with another is the one with a neighbour, and if it reaches ``width`` it is a repeat. Neighbours
     that the hashes call equal are compared byte by byte; on a collision all is done
-    again with other hashes.
+    again with other hashes. A context that occurs more than once stands in the sort once, with its
+    number: its suffixes' longest extension is that with their copies, up to the end.
     """
 
     def once(x: Groups, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
@@ -176,7 +177,7 @@ def resolver(width: int, gram: int):
         for begin, length in ((anchor - side, side + gram), (anchor, width - side - 1)):
             able = np.flatnonzero((begin >= x.at[:-1]) & (begin + length <= x.at[1:]))
             _, kind = classes(x.group[able], span_hash(prefix, begin[able], np.full(len(able), length)))
-            lived[able[np.bincount(kind, minlength=1)[kind] > 1]] = True
+            lived[able[np.bincount(kind, x.copies[able], 1)[kind] > 1]] = True
         live = np.flatnonzero(lived)
         if not len(live):
             return live, live, live
@@ -188,7 +189,7 @@ def resolver(width: int, gram: int):
         at, depth = depths(neighbours(backward, order, x.group[first]))
         at = order[at]
         many = np.bincount(kind, minlength=len(first))
-        twins = np.flatnonzero(many > 1)
+        twins = np.flatnonzero(np.bincount(kind, x.copies[live], len(first)) > 1)
         at, depth = np.concatenate([at, twins]), np.concatenate([depth, x.left[first[twins]]])
         # every place where a repeat can start, for every context
         members = np.argsort(kind, kind="stable")
@@ -199,7 +200,7 @@ def resolver(width: int, gram: int):
         keep = length >= width
         who, depth, start, length = who[keep], depth[keep], start[keep], length[keep]
         _, family = classes(x.group[who], depth, span_hash(prefix, start, np.full(len(start), width)))
-        shared = np.bincount(family, minlength=1)[family] > 1
+        shared = np.bincount(family, x.copies[who], 1)[family] > 1
         who, depth, start, length, family = who[shared], depth[shared], start[shared], length[shared], family[shared]
         if not len(who):
             return who, depth, depth
@@ -210,7 +211,7 @@ def resolver(width: int, gram: int):
         near = neighbours(forward, order, family[one])
         longest = np.zeros(len(one), np.int64)
         longest[order] = np.maximum(near[:-1], near[1:])
-        twice = np.bincount(same, minlength=len(one)) > 1
+        twice = np.bincount(same, x.copies[who], len(one)) > 1
         longest[twice] = length[one][twice]
         pairs = np.flatnonzero(near[1:-1] >= width)
         a, b, n = start[one][order[pairs]], start[one][order[pairs + 1]], near[pairs + 1]

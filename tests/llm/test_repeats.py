@@ -100,3 +100,13 @@ def test_against_brute_force_on_a_table(spark):
                 gone[i : i + width] = b"\1" * width
         kept = bytes(c for c, g in zip(b, gone) if not g)
         assert got[x["doc_id"]][0][1] == sum(gone) and got[x["doc_id"]][0][3] == hashlib.sha256(kept).hexdigest()
+
+
+def test_many_copies_of_a_text(spark):
+    r = random.Random(3)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(600))
+    other = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(600))
+    df = spark.range(10_000).selectExpr("id AS doc_id", f"'{text}' AS text").union(spark.createDataFrame([(10_000, other), (10_001, text[:90] + "x")], "doc_id long, text string"))
+    for dedup, size in ((suffix_dedup.dedup_bytes, len(text)), (block_dedup.dedup_words, 600)):
+        got = {(x["n"], x["removed"]): x["count"] for x in dedup(df).groupBy("n", "removed").count().collect()}
+        assert got[size, size] >= 10_000 and sum(got.values()) == 10_002
