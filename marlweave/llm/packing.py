@@ -32,17 +32,19 @@ def encoder(path: str):
 
     The file's vocabulary is loaded into ``tiktoken``, whose ids are the same and
     which takes a third of the time. Files that it can't express (another
-    model, an unknown split) are run by ``tokenizers`` itself. Strings of special
-    tokens in a text are ordinary text.
+    model, an unknown split, added tokens that reach into what is around them) are run by
+    ``tokenizers`` itself. The string of an added token in a text is that token's id.
     """
     said = json.loads(Path(path).read_text("utf-8"))
     pre = said.get("pre_tokenizer") or {}
+    added = said.get("added_tokens", [])
     plain = (
         (said.get("model") or {}).get("type") in ("BPE", None)
         and pre.get("type") == "ByteLevel"
         and not pre.get("add_prefix_space")
         and not said.get("normalizer")
         and not said["model"].get("ignore_merges")
+        and not any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
     )
     if plain:
         import tiktoken
@@ -50,16 +52,21 @@ def encoder(path: str):
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [x for x in range(256) if x not in set(shown)]
         letter = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {x["content"] for x in said.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in added}
         ranks = {bytes(letter[c] for c in token): at for token, at in said["model"]["vocab"].items() if token not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        fast = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return fast.encode_ordinary
+        fast = tiktoken.Encoding(os.path.basename(path), pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+
+        def encode(text: str) -> list[int]:
+            if any(x in text for x in special):
+                return fast.encode(text, allowed_special="all")
+            return fast.encode_ordinary(text)
+
+        return encode
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     return lambda text: slow.encode(text, add_special_tokens=False).ids
 
 

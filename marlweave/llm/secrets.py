@@ -299,11 +299,12 @@ def labelled(text: str, spans: list[tuple[int, int]]) -> list[tuple[list[list[st
     return out
 
 
-def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = 2000) -> Field:
-    """Learns from invented examples, and from chains of at most ``sample_docs`` documents.
+def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_docs: int = 2000, sample_chains: int = 4000, doc_chains: int = 40, chain: int = 40) -> Field:
+    """Learns from invented examples, and from at most ``sample_chains`` chains of at most ``sample_docs`` documents, ``doc_chains`` of each.
 
     In those, what the patterns match counts as secret, and every other token as none. They are
-    the rows of the smallest hashes of ids; only their chains reach the driver.
+    the rows of the smallest hashes of ids; only their chains reach the driver. A chain of more than ``chain`` tokens is cut
+    into pieces of so many, for training only.
     """
     rows = df.select(F.col(id_column).alias("i"), whole_text(text_column).alias("text"), F.xxhash64(F.col(id_column).cast("string")).alias("order"))
     total = rows.count()
@@ -317,7 +318,9 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
             order, found = [], []
             for h, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                chains = [(r, t) for r, t in labelled(text, [(s[3], s[1]) for s in base_spans(text)]) if len(r) <= 40][:20] if text else []
+                whole = labelled(text, [(s[3], s[1]) for s in base_spans(text)]) if text else []
+                cut = [(r[k : k + chain], [2 if t[k] == 2 else 0, *t[k + 1 : k + chain]]) for r, t in whole for k in range(0, len(r), chain)]
+                chains = cut[:doc_chains]
                 if chains:
                     order.append(h)
                     found.append(json.dumps(chains))
@@ -327,7 +330,7 @@ def train(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     kept = near.mapInArrow(run, "order long, chains string").orderBy("order", "chains").limit(sample_docs).collect()
     chains = [(r, t) for row in kept for r, t in json.loads(row["chains"])]
-    chains = [c for text, spans in examples() for c in labelled(text, spans)] + chains[: 2 * sample_docs]
+    chains = [c for text, spans in examples() for c in labelled(text, spans)] + chains[:sample_chains]
     return learn(chains)
 
 

@@ -84,15 +84,15 @@ def gather(k: int, lists: int):
                 qi, q = read(row["q_ids"], row["q_vectors"], row["dim"])
                 ci, c = read(row["ids"], row["vectors"], row["dim"])
                 parts = partial_scores(q, c, lists)
-                whole = sum(parts)
                 seen = np.concatenate([np.argpartition(p, max(0, p.shape[1] - k - 1), axis=1)[:, max(0, p.shape[1] - k - 1) :] for p in parts], axis=1)
                 keys, values = [], []
                 for r in range(len(qi)):
                     at = np.unique(seen[r])
                     at = at[ci[at] != qi[r]]
-                    top = best(whole[r, at], ci[at], k)
+                    whole = sum(p[r, at] for p in parts)
+                    top = best(whole, ci[at], k)
                     keys.append(np.full(len(top), qi[r]))
-                    values.append(whole[r, at[top]].astype(np.int64))
+                    values.append(whole[top].astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(values))], names=["query_id", "score"])
 
     return run

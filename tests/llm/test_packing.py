@@ -32,13 +32,25 @@ def test_round_trip_on_a_table(spark):
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.default_tokenizer())
-    slow.encode_special_tokens = True
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pieces = packing.pack(df, block_tokens=100_000).collect()
     padding = check({x["doc_id"]: x["text"] for x in df.collect()}, pieces, lambda t: slow.encode(t, add_special_tokens=False).ids, 1024)
     assert padding < 1024 * (sum(p["length"] for p in pieces) // 100_000 + 9)
 
 
+def test_added_tokens_are_those_of_tokenizers():
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.default_tokenizer())
+    fast = packing.encoder(packing.default_tokenizer())
+    r = random.Random(4)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", "hello", " ", "  ", "\n", "é", "'s", "<", "12"]
+    assert fast("hello <|endoftext|> x") == slow.encode("hello <|endoftext|> x", add_special_tokens=False).ids and 50256 in fast("hello <|endoftext|> x")
+    for _ in range(2000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids, text
+
+
 def test_odd_inputs(spark):
     odd = ["", None, "<|endoftext|> x", "é\U0001f600 ñ  \n\n a", "a " * 5000, "x" * 3000, "  lead", "don't I'll"]
     df = spark.createDataFrame([(i, t, b"z") for i, t in enumerate(odd)], "doc_id long, text string, ids binary")
