@@ -282,7 +282,7 @@ def repeated(
     gram: int,
     most_kinds: int,
     block: int = 1 << 19,
-    bucket: int = 4 << 20,
+    bucket: int = 2 << 20,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:
     """The repeated spans (tid, spans) of each text that has any; docs: doc_id, text, tid.

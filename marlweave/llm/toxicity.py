@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, blocks, mix, utf8, whole_text
+from .common import U64, blocks, mix, ranges, utf8, whole_text
 from .langid import fold
 
 STEP = U64(0x9E3779B97F4A7C15)
@@ -62,18 +62,33 @@ def _places(starts: np.ndarray, n: int) -> np.ndarray:
     return out - np.maximum.accumulate(last)
 
 
+#: What cross-validation chooses from: how strongly few examples shrink a term's weight, and its power.
+GRID = ((10.0, 2.0), (30.0, 1.0))
+LEAST = 0.05
+
+
 @dataclass
 class Index:
-    """Labelled examples as an inverted index of TF-IDF weights over runs of examples, with their maxima.
+    """Labelled examples as an inverted index of weights over blocks of examples, with their maxima.
 
-    ``lists[b]`` has a row for each term and a column for each example of block b;
-    ``most[t, b]`` is the largest weight of term t there.
+    Every term of every example is in it. A term has a pair for each block with an example that holds it: pairs
+    ``pair_at[t]`` to ``pair_at[t + 1]``, with the block and the largest weight there; the postings of
+    pair p are ``post_at[p]`` to ``post_at[p + 1]``: example and weight. The lists of terms that many examples hold are
+    rows of ``full`` (a column for each example) and ``full_most`` (for each block); ``row`` is -1 for the others.
     """
 
-    terms: np.ndarray  # sorted hashes of the chosen terms
-    idf: np.ndarray
-    lists: list[np.ndarray]
-    most: np.ndarray
+    terms: np.ndarray  # sorted hashes
+    factor: np.ndarray  # what a term's frequency is multiplied by
+    other: float  # the same for a term that no example holds
+    pair_at: np.ndarray
+    pair_block: np.ndarray
+    pair_most: np.ndarray
+    post_at: np.ndarray
+    post_example: np.ndarray
+    post_weight: np.ndarray
+    row: np.ndarray
+    full: np.ndarray
+    full_most: np.ndarray
     label: np.ndarray
     who: np.ndarray
     k: int
@@ -81,58 +96,85 @@ class Index:
     prior: float = 0.0
     curve: tuple[np.ndarray, np.ndarray] = field(default_factory=lambda: (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
 
-    def vectors(self, h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """The texts among n that hold a chosen term, and their unit vectors of weights."""
-        if not len(self.terms):
-            return np.zeros(0, np.int64), np.zeros((0, 0))
-        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
-        known = self.terms[at] == h
-        key, count = np.unique(text[known] * len(self.terms) + at[known], return_counts=True)
-        doc, term = key // len(self.terms), key % len(self.terms)
-        rows, row = np.unique(doc, return_inverse=True)
-        out = np.zeros((len(rows), len(self.terms)))
-        out[row, term] = (1 + np.log(count)) * self.idf[term]
-        return rows, out / np.sqrt((out * out).sum(axis=1, keepdims=True))
-
-    def nearest(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the k highest cosines of each vector, exactly, and the cosines; -1 and 0 where fewer are positive.
-
-        Cosines count to nine places; ties go to the earlier example. A vector's product with the
-        maxima of a block bounds its cosine with every example there. Blocks are taken by
-        falling bound, and a vector is done when the next bound is below its k-th best.
+    def weights(self, h: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, term and weight of all known terms of n texts (in order of text), the vectors of length one over all their terms."""
+        kinds, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.terms, kinds), max(len(self.terms) - 1, 0))
+        known = self.terms[at] == kinds if len(self.terms) else np.zeros(len(kinds), bool)
+        key, count = np.unique(text * max(1, len(kinds)) + back, return_counts=True)
+        doc, kind = key // max(1, len(kinds)), key % max(1, len(kinds))
+        value = (1 + np.log(count)) * np.where(known[kind], self.factor[at[kind]] if len(self.terms) else 0.0, self.other)
+        size = np.sqrt(np.bincount(doc, value * value, n))
+        some = known[kind]
+        doc, value = doc[some], value[some]
+        return doc, at[kind[some]], value / size[doc]
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, begin: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the k highest cosines of each of n texts, exactly, and the cosines; -1 and 0 where fewer are positive.
+
+        Cosines count to nine places; ties go to the earlier example. The sum of a text's weights times the
+        maxima of a block bounds its cosine with every example there. The ``begin`` blocks of the highest
+        bounds are scored first, and then all others whose bound is not below the k-th best so far.
         """
-        n, many = len(vectors), len(self.label)
-        scale = 10**9
-        best = np.full((n, self.k), -1, np.int64)  # cosine times scale, then the example from behind
-        bound = vectors @ self.most
-        order = np.argsort(-bound, axis=1, kind="stable")
-        live = np.arange(n)
-        for step in range(len(self.lists)):
-            block = order[live, step]
-            low = np.sort(best[live], axis=1)[:, 0] // max(1, many)
-            go = (bound[live, block] > 0) & ((bound[live, block] * scale).astype(np.int64) + 2 > low)
-            live, block = live[go], block[go]
-            if not len(live):
-                break
-            for b in np.unique(block).tolist():
-                some = live[block == b]
-                score = np.rint(vectors[some] @ self.lists[b] * scale).astype(np.int64)
-                example = b * self.block + np.arange(score.shape[1])
-                key = np.where(score > 0, score * many + (many - 1 - example), -1)
-                both = np.concatenate([best[some], key], axis=1)
-                best[some] = np.partition(both, both.shape[1] - self.k, axis=1)[:, both.shape[1] - self.k :]
-        best = -np.sort(-best, axis=1)
+        many, scale = len(self.label), 10**9
+        blocks_ = -(-many // self.block)
+        often = self.row[term] >= 0
+        common = np.zeros((n, len(self.full)))
+        common[doc[often], self.row[term[often]]] = value[often]
+        doc, term, value = doc[~often], term[~often], value[~often]
+        pairs = ranges(self.pair_at[term], self.pair_at[term + 1] - self.pair_at[term])
+        entry = np.repeat(np.arange(len(term)), self.pair_at[term + 1] - self.pair_at[term])
+        cell = doc[entry] * blocks_ + self.pair_block[pairs]
+        bound = np.bincount(cell, value[entry] * self.pair_most[pairs], n * blocks_).reshape(n, blocks_) + common @ self.full_most
+        score = np.zeros((n, many), np.int64)
+
+        def add(chosen: np.ndarray) -> None:
+            at = np.flatnonzero(chosen.ravel()[cell])
+            p, e = pairs[at], entry[at]
+            size = self.post_at[p + 1] - self.post_at[p]
+            post, e = ranges(self.post_at[p], size), np.repeat(e, size)
+            got = np.bincount(doc[e] * many + self.post_example[post], value[e] * self.post_weight[post], n * many).reshape(n, many)
+            for b in range(blocks_):
+                own, some = slice(b * self.block, (b + 1) * self.block), np.flatnonzero(chosen[:, b])
+                if len(some):
+                    score[some, own] = np.rint((got[some, own] + common[some] @ self.full[:, own]) * scale)
+
+        first = np.zeros((n, blocks_), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :begin], True, axis=1)
+        add(first)
+        k = min(self.k, many)
+        low = np.partition(score, many - k, axis=1)[:, many - k] if many else np.zeros(n, np.int64)
+        add(~first & (bound > 0) & ((bound * scale).astype(np.int64) + 2 > low[:, None]))
+        key = np.where(score > 0, score * many + (many - 1 - np.arange(many)), -1)
+        best = -np.sort(-np.partition(key, many - k, axis=1)[:, many - k :], axis=1)
+        if k < self.k:
+            best = np.concatenate([best, np.full((n, self.k - k), -1, np.int64)], axis=1)
         found = best >= 0
         return np.where(found, many - 1 - best % max(1, many), -1), np.where(found, best // max(1, many) / scale, 0.0)
 
     def vote(self, example: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        """The share of label 1 among the neighbours, weighted by closeness; the prior weighs a little."""
-        near = cosine * cosine
-        return ((near * self.label[example]).sum(axis=1) + 0.1 * self.prior) / (near.sum(axis=1) + 0.1)
+        """The share of label 1 among the neighbours, weighted by closeness, as if both labels had as many examples; a half weighs a little."""
+        pos = max(1, int(self.label.sum()))
+        fair = np.where(self.label == 1, 0.5 * len(self.label) / pos, 0.5 * len(self.label) / max(1, len(self.label) - pos))
+        near = cosine * cosine * np.where(example >= 0, fair[example], 0.0)
+        return ((near * self.label[example]).sum(axis=1) + 0.005) / (near.sum(axis=1) + 0.01)
 
     def calibrated(self, raw: np.ndarray) -> np.ndarray:
         return np.interp(raw, *self.curve)
 
+    def search(self, h: np.ndarray, text: np.ndarray, n: int, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(texts, examples, cosines) of those of n texts that share a term with an example, some at a time."""
+        doc, term, value = self.weights(h, text, n)
+        cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+        rows, ends = doc[cuts], np.append(cuts[1:], len(doc))
+        at = 0
+        while at < len(rows):
+            past = max(at + 1, min(at + 256, int(np.searchsorted(ends, cuts[at] + most, side="right"))))
+            own = slice(cuts[at], ends[past - 1])
+            local = np.repeat(np.arange(past - at), ends[at:past] - cuts[at:past])
+            yield rows[at:past], *self.nearest(local, term[own], value[own], past - at)
+            at = past
+
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rising fit of y to x by pooling adjacent violators, as points to interpolate."""
@@ -147,58 +189,117 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([p[0] for p in pools]), np.array([p[1] for p in pools])
 
 
-def build(rows: list[tuple[int, np.ndarray, np.ndarray, int]], terms: int, k: int, block: int, least: float = 30.0) -> Index:
-    """An index of (id, word hashes, counts, label) rows over the ``terms`` terms that tell the labels apart best.
+Row = tuple[int, np.ndarray, np.ndarray, int]  # id, hashes of features, counts, label
+
+
+def flat(rows: list[Row]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, counts and row of all rows."""
+    if not rows:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
 
-    Terms are ranked by the chi-square statistic of presence against label; only terms
-    with a statistic of at least ``least``, more frequent under label 1 than under 0, count
-    (at 30 less than one term in ten million would pass by chance).
+
+def build(rows: list[Row], k: int, block: int, shrink: float = 10.0, power: float = 2.0) -> Index:
+    """An index of all terms of all rows.
+
+    A term's factor is its idf times a power of how much it tells about the label: LEAST, plus the distance of
+    the log odds among the examples with it from those of all, shrunk by ``shrink`` examples of the usual mixture. So all
+    terms count, and rare or neutral ones count little.
     """
     label = np.array([r[3] for r in rows], np.int64)
     n, pos = len(rows), int(label.sum())
-    every = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0, U64)
-    owner = np.repeat(np.arange(n), [len(r[1]) for r in rows])
+    every, count, owner = flat(rows)
     kinds, back = np.unique(every, return_inverse=True)
     df = np.bincount(back, minlength=len(kinds)).astype(float)
-    with_pos = np.bincount(back, label[owner], len(kinds)) if n else df
-    a, b = with_pos, df - with_pos
-    c, d = pos - a, (n - pos) - b
-    bottom = np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    chi = n * (a * d - b * c) ** 2 / bottom
-    chi[(a * max(1, n - pos) <= b * max(1, pos)) | (df < 3) | (chi < least)] = 0
-    chosen = np.sort(np.lexsort((kinds, -chi))[:terms])
-    chosen = chosen[chi[chosen] > 0]
-    hashes = kinds[chosen]
-    idf = np.log((1 + n) / (1 + df[chosen])) + 1
-    index = Index(hashes, idf, [], np.zeros((len(hashes), 0)), label, np.array([r[0] for r in rows], np.int64), k, block, pos / max(1, n))
-    if not len(hashes):
-        return index
-    count = np.concatenate([r[2] for r in rows])
-    at, vectors = index.vectors(np.repeat(every, count), np.repeat(owner, count), n)
+    a = np.bincount(back, label[owner], len(kinds)) if n else df
+    share = min(max(pos / max(1, n), 1e-3), 1 - 1e-3)
+    told = np.abs(np.log((a + shrink * share) / (df - a + shrink * (1 - share))) - np.log(share / (1 - share)))
+    factor = (np.log((1 + n) / (1 + df)) + 1) * (LEAST + told) ** power
+    value = (1 + np.log(count)) * factor[back]
+    value = value / np.sqrt(np.bincount(owner, value * value, max(1, n)))[owner]
     # examples that share their strongest term stand together, so that blocks have tight maxima
-    order = np.lexsort((at, label[at], vectors.argmax(axis=1)))
-    at, vectors = at[order], vectors[order]
-    index.label, index.who = label[at], index.who[at]
-    index.lists = [np.ascontiguousarray(vectors[i : i + block].T) for i in range(0, len(at), block)]
-    index.most = np.stack([x.max(axis=1) for x in index.lists], axis=1)
-    return index
-
-
-def calibrate(index: Index, rows: list[tuple[int, np.ndarray, np.ndarray, int]], share: float) -> None:
-    """Fits probabilities to the votes of rows outside the index; ``share`` is that of label 1 at large."""
+    strongest = np.zeros(n, np.int64)
+    by = np.lexsort((value, owner))
+    last = np.flatnonzero(np.diff(owner[by], append=-1))
+    strongest[owner[by[last]]] = back[by[last]]
+    order = np.lexsort((label, strongest))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    example = place[owner]
+    at = np.lexsort((example, back))
+    term, example, value = back[at], example[at], value[at]
+    often = np.flatnonzero(df > max(n / 20, 1))
+    row = np.full(len(kinds), -1)
+    row[often] = np.arange(len(often))
+    blocks_ = -(-n // block)
+    full = np.zeros((len(often), n))
+    held = row[term] >= 0
+    full[row[term[held]], example[held]] = value[held]
+    full_most = np.stack([full[:, b * block : (b + 1) * block].max(axis=1) for b in range(blocks_)], axis=1) if n else np.zeros((0, 0))
+    term, example, value = term[~held], example[~held], value[~held]
+    pair = np.flatnonzero(np.diff(term * (n + 1) + example // block, prepend=-1))
+    return Index(
+        terms=kinds,
+        factor=factor,
+        other=(np.log(1 + n) + 1) * LEAST**power,
+        pair_at=np.searchsorted(term[pair], np.arange(len(kinds) + 1)),
+        pair_block=(example[pair] // block).astype(np.int32),
+        pair_most=np.maximum.reduceat(value, pair) if len(pair) else value,
+        post_at=np.append(pair, len(term)),
+        post_example=example.astype(np.int32),
+        post_weight=value,
+        row=row,
+        full=full,
+        full_most=full_most,
+        label=label[order],
+        who=np.array([r[0] for r in rows], np.int64)[order],
+        k=k,
+        block=block,
+        prior=pos / max(1, n),
+    )
+
+
+def votes(index: Index, rows: list[Row]) -> np.ndarray:
+    """The vote on each row; nan where no example shares a term."""
+    every, count, owner = flat(rows)
+    out = np.full(len(rows), np.nan)
+    for at, example, cosine in index.search(np.repeat(every, count), np.repeat(owner, count), len(rows)):
+        some = cosine[:, 0] > 0
+        out[at[some]] = index.vote(example[some], cosine[some])
+    return out
+
+
+def choose(rows: list[Row], share: float, k: int, block: int, folds: int = 3) -> Index:
+    """The index of all rows, with the settings of GRID that have the lowest log loss over ``folds`` folds of them.
+
+    Votes on each fold by an index of the others also give the calibration, with labels weighted by their
+    true shares (``share`` is that of label 1 at large).
+    """
     label = np.array([r[3] for r in rows], np.int64)
-    if not len(label):
-        return
     weight = np.where(label == 1, share / max(1, label.sum()), (1 - share) / max(1, (1 - label).sum()))
-    owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    count = np.concatenate([r[2] for r in rows])
-    every = np.concatenate([r[1] for r in rows])
-    at, vectors = index.vectors(np.repeat(every, count), np.repeat(owner, count), len(rows))
-    none = np.ones(len(rows), bool)
-    none[at] = False
-    if len(at):
-        index.curve = isotonic(index.vote(*index.nearest(vectors)), label[at].astype(float), weight[at])
-    index.prior = float((label * weight)[none].sum() / weight[none].sum()) if none.any() else share
+    fold = (mix(np.array([r[0] for r in rows], np.int64).view(U64)) % U64(folds)).astype(np.int64)
+    best = None
+    for shrink, power in GRID:
+        raw = np.full(len(rows), np.nan)
+        for f in range(folds):
+            own = np.flatnonzero(fold == f)
+            raw[own] = votes(build([r for r, x in zip(rows, fold) if x != f], k, block, shrink, power), [rows[i] for i in own])
+        some = np.flatnonzero(~np.isnan(raw))
+        if not len(some):
+            continue
+        curve = isotonic(raw[some], label[some].astype(float), weight[some])
+        p = np.clip(np.interp(raw[some], *curve), 1e-4, 1 - 1e-4)
+        loss = -float((weight[some] * np.where(label[some] == 1, np.log(p), np.log(1 - p))).sum())
+        if best is None or loss < best[0]:
+            none = np.isnan(raw)
+            best = loss, shrink, power, curve, float((label * weight)[none].sum() / weight[none].sum()) if none.any() else share
+    if best is None:
+        index = build(rows, k, block)
+        index.prior = share
+        return index
+    index = build(rows, k, block, best[1], best[2])
+    index.curve, index.prior = best[3], best[4]
+    return index
 
 
 def held_out(id_column: str) -> Column:
@@ -219,43 +320,43 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", examples: int = 3000, terms: int = 256, k: int = 15, block: int = 64) -> Index:
+def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", examples: int = 3000, k: int = 15, block: int = 64) -> Index:
     """An index of at most ``examples`` labelled texts, as even between the labels as they allow.
 
-    A third of them is kept out of the index, for calibration. They are, of each label, the rows of the smallest hashes of ids, among rows whose id's CRC-32
+    They are, of each label, the rows of the smallest hashes of ids, among rows whose id's CRC-32
     modulo 3 is not 1, with a text and a label 0 or 1. Ids with contradicting labels count as 1.
+    Settings and calibration come from cross-validation among them.
     """
     known = labels.select(F.col(id_column).alias("i"), F.col(label_column).cast("int").alias("label")).where(F.col("i").isNotNull() & F.col("label").isin(0, 1) & ~held_out("i"))
     known = known.groupBy("i").agg(F.max("label").alias("label")).withColumn("order", F.xxhash64("i"))
-    half = examples // 2
     totals = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    picks = [r for value in (0, 1) for r in known.where(F.col("label") == value).orderBy("order", "i").limit(half).collect()]
+    half = examples // 2
+    # what one label lacks the other may fill
+    most = {0: max(half, examples - totals.get(1, 0)), 1: max(half, examples - totals.get(0, 0))}
+    picks = [r for value in (0, 1) for r in known.where(F.col("label") == value).orderBy("order", "i").limit(most[value]).collect()]
     if not picks:
-        return build([], terms, k, block)
+        return build([], k, block)
     # at most ``examples`` rows
     chosen = df.sparkSession.createDataFrame([(r["i"], r["label"]) for r in picks], T.StructType([T.StructField("i", labels.schema[id_column].dataType), T.StructField("label", T.IntegerType())]))
     texts = df.select(F.col(id_column).alias("i"), whole_text(text_column).alias("text")).join(F.broadcast(chosen), "i").dropDuplicates(["i"])
     got = texts.select(F.col("i").cast("long"), "text", "label").mapInArrow(count_words, "id long, h binary, n binary, label int").toPandas().sort_values("id")
     rows = [(int(i), np.frombuffer(h, np.uint64), np.frombuffer(n, np.int64), int(y)) for i, h, n, y in zip(got["id"], got["h"], got["n"], got["label"])]
-    place = mix(np.array([r[0] for r in rows], np.int64).view(U64)) % U64(3) == 0
-    index = build([r for r, out in zip(rows, place) if not out], terms, k, block)
-    calibrate(index, [r for r, out in zip(rows, place) if out], totals.get(1, 0) / sum(totals.values()))
-    return index
+    return choose([r for r in rows if len(r[1])], totals.get(1, 0) / sum(totals.values()), k, block)
 
 
 def score(df: DataFrame, labels: DataFrame | None = None, index: Index | None = None, id_column: str = "doc_id", text_column: str = "text", out: str = "toxicity", threshold: float = 0.7, shown: int = 3, **training) -> DataFrame:
     """Adds the struct ``out`` (score, predicted, similarity, evidence) to every row.
 
-    A text is a TF-IDF vector over terms (words, and the first letters of longer ones) chosen from
-    the labelled examples. Its ``k`` nearest
-    examples by exact cosine come from inverted lists whose blocks carry their maxima; their
-    labels vote, weighted by squared cosine, and the vote is turned into a probability by an isotonic
-    fit to the votes of examples outside the index, at the labels' true shares. ``evidence``
-    lists the nearest examples. Predicted is 1 from ``threshold`` on.
+    A text is a vector over all its words, and the first letters of longer ones: TF-IDF, with each term weighed by
+    what it tells about the labels (``build``). Its ``k`` nearest examples, of both labels, by exact cosine
+    come from inverted lists whose blocks carry their maxima; their labels vote, weighted by squared
+    cosine, and the vote is turned into a probability by an isotonic fit to votes on examples
+    outside the index, at the labels' true shares. ``evidence`` lists the nearest examples.
+    Predicted is 1 from ``threshold`` on.
 
-    A text that is null, empty or without any of the terms gets the share of label 1 among examples
-    of that sort. Whole texts count. All columns are kept; one named ``out`` is replaced; rows
-    may repeat; an empty table stays empty. With no labels all scores are 0.
+    A text that is null, empty or shares no term with an example gets the share of label 1 among examples
+    of that sort (if there were none, among all labelled). Whole texts count. All columns are kept; one named
+    ``out`` is replaced; rows may repeat; an empty table stays empty. With no labels all scores are 0.
     """
     if index is None:
         index = train(df, labels, id_column, text_column, **training)
@@ -273,15 +374,13 @@ def score(df: DataFrame, labels: DataFrame | None = None, index: Index | None =
             value, top, evidence = np.full(n, model.prior), np.zeros(n), [[] for _ in range(n)]
             for a, b in blocks(offsets, 1 << 20) if len(model.terms) else ():
                 own = offsets[a : b + 1]
-                h, text = features(data[own[0] : own[-1]], own - own[0])
-                rows, vectors = model.vectors(h, text, b - a)
-                if not len(rows):
-                    continue
-                example, cosine = model.nearest(vectors)
-                value[a + rows] = model.calibrated(model.vote(example, cosine))
-                top[a + rows] = cosine[:, 0]
-                for i, e, s in zip((a + rows).tolist(), example[:, :shown].tolist(), cosine[:, :shown].tolist()):
-                    evidence[i] = [{"example": int(model.who[x]), "label": int(model.label[x]), "similarity": y} for x, y in zip(e, s) if x >= 0]
+                for rows, example, cosine in model.search(*features(data[own[0] : own[-1]], own - own[0]), b - a):
+                    some = cosine[:, 0] > 0
+                    rows, example, cosine = rows[some], example[some], cosine[some]
+                    value[a + rows] = model.calibrated(model.vote(example, cosine))
+                    top[a + rows] = cosine[:, 0]
+                    for i, e, s in zip((a + rows).tolist(), example[:, :shown].tolist(), cosine[:, :shown].tolist()):
+                        evidence[i] = [{"example": int(model.who[x]), "label": int(model.label[x]), "similarity": y} for x, y in zip(e, s) if x >= 0]
             result = pa.StructArray.from_arrays([pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(top), pa.array(evidence, pa.list_(item))], fields=list(kind))
             yield pa.RecordBatch.from_arrays([*batch.columns, result], names=[*batch.schema.names, out])
 
