@@ -12,6 +12,8 @@ def scratch(spark: SparkSession) -> str:
     """Read from spark.checkpoint.dir; only where that is unset, in tests on one machine, is a folder made."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         at = f"file://{tempfile.mkdtemp(prefix='marlweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
