@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, blocks, mix, prefix_hash, ranges, utf8, whole_text, window_hash
+from .common import U64, blocks, mix, prefix_hash, ranges, text_key, unused, utf8, whole_text, window_hash
 
 GAP = 32
 FAR = 1 << 28
@@ -133,7 +133,7 @@ def align(item: np.ndarray, doc: np.ndarray, low: int, edits: int) -> tuple[int,
     return int(dist[k]), int(start[k]), int(base + len(item) + k)
 
 
-def regions(items: Items, s: np.ndarray, at: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def regions(items: Items, s: np.ndarray, at: np.ndarray, q: int, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, item and lowest diagonal of the bands with enough shared q-grams.
 
     With e edits in a passage of n symbols at least n - q + 1 - q e of its q-grams are left, on
@@ -151,27 +151,39 @@ def regions(items: Items, s: np.ndarray, at: np.ndarray, q: int) -> tuple[np.nda
     near, text, lo, many = near[some], text[some], lo[some], (hi - lo)[some]
     if not len(near):
         return none
+    # a q-gram that passages repeat meets many places: they are counted some text symbols at a time
+    done, keys, counts = np.cumsum(many), [], []
+    a = 0
+    while a < len(near):
+        b = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + most, side="right")))
+        key, count = _counted(items, at, near[a:b], text[a:b], lo[a:b], many[a:b])
+        keys.append(key)
+        counts.append(count)
+        if len(keys) > 16:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            keys, counts = [key], [np.bincount(back, np.concatenate(counts)).astype(np.int64)]
+        a = b
+    key, back = np.unique(np.concatenate(keys), return_inverse=True)
+    count = np.bincount(back, np.concatenate(counts))
+    band = (key & ((1 << 26) - 1)) - (1 << 25)
+    item = (key >> 26) & ((1 << 18) - 1)
+    good = count >= np.diff(items.at)[item] - q + 1 - q * items.edits[item]
+    return (key >> 44)[good], item[good], (band * (items.edits[item] + 1))[good]
+
+
+def _counted(items: Items, at: np.ndarray, near: np.ndarray, text: np.ndarray, lo: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of text, item and band, and how many text symbols begin a shared q-gram there; each counts once."""
     hit = ranges(lo, many)
     text, place = np.repeat(text, many), np.repeat(near, many)
     item = items.item[hit]
     diagonal = place - at[text] - items.place[hit]
-    step = items.edits[item] + 1
-    band = diagonal // step
-    need = np.diff(items.at)[item] - q + 1 - q * items.edits[item]
-    # each text symbol counts once in a band for an item
+    band = diagonal // (items.edits[item] + 1)
     key = np.concatenate([_key(text, item, band), _key(text, item, band - 1)])
     spot = np.concatenate([place, place])
-    need = np.concatenate([need, need])
     order = np.lexsort((spot, key))
-    key, spot, need = key[order], spot[order], need[order]
+    key, spot = key[order], spot[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (spot[1:] != spot[:-1])])
-    key, need = key[fresh], need[fresh]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(first, len(key)))
-    good = key[first[count >= need[first]]]
-    band = (good & ((1 << 26) - 1)) - (1 << 25)
-    item = (good >> 26) & ((1 << 18) - 1)
-    return good >> 44, item, band * (items.edits[item] + 1)
+    return np.unique(key[fresh], return_counts=True)
 
 
 def _key(text: np.ndarray, item: np.ndarray, band: np.ndarray) -> np.ndarray:
@@ -253,10 +265,11 @@ def search(shared, q: int):
 
 
 def clean(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", passage_column: str = "text", **settings) -> DataFrame:
-    """The rows of ``df`` whose texts hold no benchmark passage, with all their columns."""
-    from .common import text_key
+    """The rows of ``df`` whose texts hold no benchmark passage, with all their columns, whatever their names.
 
-    key = text_key(whole_text(text_column))
-    named = df.withColumn("__key", key)
-    leaks = find_leaks(named.select("__key", text_column), benchmark, "__key", text_column, item_column, passage_column, **settings)
-    return named.join(leaks.select(F.col("doc_id").alias("__leak")).distinct(), F.col("__key") == F.col("__leak"), "left_anti").drop("__key")
+    Null and empty texts stay, as does everything where the benchmark is empty; rows that repeat stay or go together.
+    """
+    mark, leak = unused(df, "key", "leak")
+    named = df.withColumn(mark, text_key(whole_text(text_column)))
+    leaks = find_leaks(named.select(mark, text_column), benchmark, mark, text_column, item_column, passage_column, **settings)
+    return named.join(leaks.select(F.col("doc_id").alias(leak)).distinct(), F.col(mark) == F.col(leak), "left_anti").drop(mark)

@@ -296,11 +296,14 @@ def calibrate(model: Model, rows: pd.DataFrame) -> None:
         losses.append((-(z[np.arange(len(z)), true] - np.log(np.exp(z).sum(axis=1))).mean() + 1e-4 / t, t))
     model.temperature = min(losses)[1]
     own = ce[np.arange(len(ce)), true]
+    every = own[n >= 200]
     for k in range(len(model.languages)):
         mine = own[(true == k) & (n >= 200)]
-        if len(mine) >= 5:
-            middle = float(np.median(mine))
-            model.limit[k] = float(np.max(mine)) + max(0.5, 2 * (float(np.max(mine)) - middle))
+        mine = mine if len(mine) >= 20 else every  # a language of few such texts is held to all languages' limit
+        if len(mine):
+            # a high quantile, so that one odd or mislabelled text does not set the limit
+            middle, high = float(np.median(mine)), float(np.quantile(mine, 0.95))
+            model.limit[k] = high + max(0.35, 2 * (high - middle))
     model.spread = 6.0  # nats a symbol: short texts vary by this over the root of their length
 
 

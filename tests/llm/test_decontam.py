@@ -76,3 +76,22 @@ def test_odd_inputs(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0
     assert decontam.clean(df, bench.limit(0)).count() == 8
     assert np.array_equal(sorted(x["doc_id"] for x in decontam.clean(df, bench.where("item_id = 1")).collect()), [1, 2, 4, 6])
+
+
+def test_counting_in_parts_gives_the_same():
+    r = random.Random(3)
+    items = decontam.index([0, 1, 2], ["a" * 60, "ab" * 40, "".join(r.choice("abc ") for _ in range(90))], 10, 0.06)
+    text = "a" * 300 + " " + "ab" * 100 + "".join(r.choice("abc ") for _ in range(400))
+    data = np.frombuffer(text.encode(), np.uint8)
+    s, at, _ = decontam.symbols(data, np.array([0, len(data)]))
+    whole = [x.tolist() for x in decontam.regions(items, s, at, 10)]
+    assert len(whole[0]) > 5
+    for most in (1, 100, 5000):
+        assert [x.tolist() for x in decontam.regions(items, s, at, 10, most)] == whole
+
+
+def test_clean_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a passage about nothing in particular at all", "x", 1), (2, None, "y", 2), (3, "other words", None, None)], "doc_id long, text string, key string, leak long")
+    bench = spark.createDataFrame([(1, "passage about nothing in particular")], "item_id long, text string")
+    got = decontam.clean(docs, bench)
+    assert got.columns == docs.columns and sorted(r["doc_id"] for r in got.collect()) == [2, 3]

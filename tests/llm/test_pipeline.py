@@ -35,3 +35,33 @@ def test_run(spark):
     for i, t in clean.items():
         assert np.concatenate([ids[i][s] for s in sorted(ids[i])]).tolist() == [*encode(t), 0]
     assert decontam.budget(100, 10, 0.06) == 6
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, clashing names, ties, repeated rows, long and empty texts, and empty tables."""
+    sf = "/root/testdata/sf0.001"
+    words = "the dog and the cat are here with a house by the river of all things small".split()
+    base = [" ".join(words[(i + k * k) % len(words)] for k in range(60 + i)) for i in range(30)]
+    rows = [(i, t, "en", "s", len(t), "k", "l", "m", 1) for i, t in enumerate(base)]
+    rows += [(100, None, None, None, None, None, None, None, None), (101, "", "en", None, 0, "k", None, None, None), (None, base[3], None, "s", None, None, None, None, None), (5, base[5], "en", "s", 3, "k", "l", "m", 1), (5, base[5], "en", "s", 3, "k", "l", "m", 1)]
+    rows += [(200, " ".join(base) * 60, "en", "s", 9, "k", "l", "m", 1), (201, "123 ...", "en", "s", 7, "k", "l", "m", 1), (202, base[7] + " token=abcd1234efgh", "en", "s", 1, "k", "l", "m", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, language string, secrets string, h long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        empty = stage(spark, docs.limit(0), sf)
+        assert empty.count() == 0, name
+        got = out.collect()
+        ids = [r["doc_id"] for r in got]
+        if name == "packing":
+            assert {100, 101, 200} <= set(ids) and ids.count(5) >= 3
+            continue
+        assert out.columns == empty.columns == docs.columns, name
+        if name == "language":
+            assert not {100, 101, 201} & set(ids) and ids.count(5) == 3 and 200 in ids and None in ids
+        if name == "near duplicates":
+            assert len({100, 101} & set(ids)) == 1 and ids.count(5) <= 1 and None not in ids and {200, 201} <= set(ids)
+        if name == "decontamination":
+            assert sorted(map(str, ids)) == sorted(str(r[0]) for r in rows)
+        if name == "secrets":
+            by = {r["doc_id"]: r for r in got}
+            assert len(got) == len(rows) and by[100]["text"] is None and by[202]["text"].endswith("token=[SECRET]") and by[202]["n_chars"] == len(by[202]["text"]) and by[200]["n_chars"] == 9
