@@ -43,14 +43,19 @@ def sketch(u: np.ndarray, gram: int, kept: int, samples: int) -> np.ndarray:
     label[order] = (run - np.maximum.accumulate(np.where(new, run, 0))).astype(U64)
     y = mix(x + label * U64(BASE))
     take = min(kept, len(x))
+    places = np.arange(len(x), dtype=U64)
     out = np.empty(samples, U64)
     step = max(1, (1 << 18) // len(x))
     for a in range(0, samples, step):
         s = SEEDS[a : min(a + step, samples)]
         h = (y[None, :] ^ s[:, None]) * (s[:, None] | U64(1))
         h ^= h >> U64(29)
-        low = np.argpartition(h, take - 1, axis=1)[:, :take] if take < len(x) else np.broadcast_to(np.arange(len(x)), (len(s), len(x)))
-        low = np.sort(low, axis=1)
+        if take < len(x):  # the place stands in the lowest bits, so that values can be partitioned
+            bits = U64(len(x).bit_length())
+            low = np.partition((h >> bits << bits) | places, take - 1, axis=1)[:, :take]
+            low = np.sort((low & ((U64(1) << bits) - U64(1))).astype(np.int64), axis=1)
+        else:
+            low = np.broadcast_to(np.arange(len(x)), (len(s), len(x)))
         z = s.copy()
         for t in range(take):
             z = mix(z * U64(BASE) + x[low[:, t]])
@@ -127,14 +132,18 @@ def possible(share: float):
     return run
 
 
-def verify(share: float):
-    """Pairs of texts -> the pairs within the edit budget, with their distance."""
+def verify(share: float, most: int = 16 << 20):
+    """Pairs of texts -> the pairs within the edit budget, with their distance; about ``most`` bytes and at most 1024 pairs at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                one, two = (units(*utf8(part.column(c))) for c in ("text_a", "text_b"))
+            size = sum(np.diff(utf8(batch.column(c))[1]) for c in ("text_a", "text_b")) + most // 1024
+            for first, past in blocks(np.concatenate([[0], np.cumsum(size)]), most):
+                part = batch.slice(first, past - first)
+                # a text is in many pairs, and is cut into words once
+                both = pa.concat_arrays([part.column("text_a"), part.column("text_b")]).dictionary_encode()
+                known, at = units(*utf8(both.dictionary)), both.indices.to_pylist()
+                one, two = [known[i] for i in at[: part.num_rows]], [known[i] for i in at[part.num_rows :]]
                 limit = np.array([int(share * max(len(x), len(y))) for x, y in zip(one, two)], np.int64)
                 got = distances(list(zip(one, two)), limit)
                 ok = got <= limit
@@ -276,7 +285,7 @@ def aligned(docs: DataFrame, known: DataFrame, pairs: DataFrame, share: float, b
     few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows  # 24 bytes each
     body = docs.join(F.broadcast(wanted) if few else wanted, "tid").groupBy("h").agg(F.first("text").alias("text"))
     body = staged(body, "bodies")
-    tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism * 2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     half = pairs.join(body.select(F.col("h").alias("a"), F.col("text").alias("text_a")), "a").repartition(tasks, "b")
     both = half.join(body.select(F.col("h").alias("b"), F.col("text").alias("text_b")).repartition(tasks, "b").hint("merge"), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(verify(share), "a long, b long, edits long, near boolean")

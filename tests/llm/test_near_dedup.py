@@ -161,3 +161,14 @@ def test_recall_of_near_pairs(spark):
     found = {k: sum(got[i + 1] == i for i in kind if kind[i] == k) / 40 for k in SIZES}
     print(found)
     assert all(found[k] == 1 if k[0] < 30 else found[k] >= 0.95 for k in SIZES), found
+
+
+def test_the_lower_bound_is_one():
+    r = random.Random(11)
+    for _ in range(2000):
+        a = [r.randint(0, 3) for _ in range(r.randint(0, 20))]
+        b = list(a)
+        for _ in range(r.randint(0, 6)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 2)] = [r.randint(0, 4) for _ in range(r.randint(0, 2))]
+        assert alignment.least([(np.array(a, np.int32), np.array(b, np.int32))])[0] <= edit(a, b), (a, b)
