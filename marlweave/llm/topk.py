@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import staged
+
 BLOCK = "block long, dim int, ids binary, vectors binary"
 #: Sums below this are exact in doubles.
 EXACT = 2.0**53
@@ -151,9 +154,8 @@ def top_k(
     uniform share (if no list does, the sum is below the cutoff). Phase three sums
     what is left exactly, drops what misses the cutoff, and ranks.
 
-    Queries meet the rows as blocks of vectors. All blocks of queries are broadcast if
-    they hold at most ``broadcast_bytes``, which is counted first; beyond that the blocks of
-    rows are sent to each block of queries by an equi-join on its number.
+    Queries meet the rows as blocks of vectors. The blocks of queries are broadcast, about ``broadcast_bytes`` at a
+    time (their size is counted first): beyond that they come in parts, and the rows are read for each.
 
     Result: query_id, rank from 1, vec_id, score; ties go to the smaller id. Vectors that are
     null or hold null, NaN or infinite components take no part, nor do null ids;
@@ -170,8 +172,15 @@ def top_k(
     queries = flat(asked).mapInArrow(packed(query_block), BLOCK)
     queries = queries.select(F.col("block").alias("q_block"), "dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     others = flat(rows).mapInArrow(packed(row_block), BLOCK)
-    held = asked.agg(F.coalesce(F.sum(F.size(x) * 8 + 32), F.lit(0)).alias("n")).first()["n"]
-    meet = (lambda q: others.join(F.broadcast(q), "dim")) if held <= broadcast_bytes else _by_number(others, queries)
+    held = asked.agg(F.coalesce(F.sum(F.size(x) * 8 + 32), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
+    parts = max(1, min(-(-held["bytes"] // max(1, broadcast_bytes)), -(-held["n"] // query_block)))
+    if parts > 1:  # both are read once for each part
+        queries, others = staged(queries, "queries"), staged(others, "rows")
+
+    def meet(q: DataFrame) -> DataFrame:
+        own = [q if parts == 1 else q.where(F.pmod(F.xxhash64("q_block"), F.lit(parts)) == c) for c in range(parts)]
+        return reduce(DataFrame.unionByName, [others.join(F.broadcast(x), "dim") for x in own])
+
     pairs = meet(queries)
     lows = pairs.select("dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(gather(k, lists), "query_id long, score long")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"))
@@ -189,19 +198,6 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _by_number(others: DataFrame, queries: DataFrame):
-    """Joins every block of rows with every block of queries by the latter's number."""
-    numbers = [r["q_block"] for r in queries.select("q_block").collect()]
-    spread = 16
-    sent = others.select("*", F.explode(F.array(*[F.lit(n).cast("long") for n in numbers])).alias("q_block"), F.pmod("block", F.lit(spread)).alias("part"))
-
-    def meet(q: DataFrame) -> DataFrame:
-        copies = q.select("*", F.explode(F.array(*[F.lit(n).cast("long") for n in range(spread)])).alias("part"))
-        return sent.join(copies, ["q_block", "part", "dim"])
-
-    return meet
-
-
 def block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids in each block of queries."""
     for batch in batches:
