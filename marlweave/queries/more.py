@@ -82,16 +82,16 @@ SELECT query_id, retrieved, gold, hits, round(hits / 5, 6) AS "precision", round
 
 
 def session_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Passages as questions, documents as sessions; passages that no document holds are not eligible."""
+    """Passages as questions, documents as sessions; passages that no document holds are not eligible, and have -1 for values."""
     rows = metrics.sessions(state.ranked(spark, d), tables.qrels(spark, d))
-    return rows.select("query_id", "eligible", "gold", "retrieved", "hits", *[R6(c).alias(c) for c in ("session_recall", "rr", "ndcg")], "session_hit")
+    return rows.select("query_id", "eligible", "gold", "retrieved", "hits", *[F.coalesce(R6(c), F.lit(-1.0)).alias(c) for c in ("session_recall", "rr", "ndcg")], F.coalesce(F.col("session_hit").cast("int"), F.lit(-1)).alias("session_hit"))
 
 
 SESSION_METRICS = f"""WITH {JUDGED},
 g AS (SELECT p.query_id, count(*) AS retrieved, count(q.doc) AS hits, min(CASE WHEN q.doc IS NOT NULL THEN rank END) AS first, sum(CASE WHEN q.doc IS NOT NULL THEN 1.0 / log2(rank + 1) ELSE 0 END) AS dcg FROM pool p LEFT JOIN qrels q ON q.query_id = p.query_id AND q.doc = p.slot GROUP BY p.query_id),
 a AS (SELECT query_id, coalesce(gold, 0) AS gold, coalesce(retrieved, 0) AS retrieved, coalesce(hits, 0) AS hits, first, coalesce(dcg, 0) AS dcg FROM g FULL JOIN need USING (query_id))
-SELECT query_id, gold > 0 AS eligible, gold, retrieved, hits, CASE WHEN gold > 0 THEN round(hits / gold, 6) END AS session_recall, CASE WHEN gold > 0 THEN round(CAST(coalesce(1.0 / first, 0.0) AS DOUBLE), 6) END AS rr,
-  CASE WHEN gold > 0 THEN round(CASE WHEN least(gold, retrieved) > 0 THEN dcg / {DCG('least(gold, retrieved)')} ELSE 0.0 END, 6) END AS ndcg, CASE WHEN gold > 0 THEN hits > 0 END AS session_hit FROM a"""
+SELECT query_id, gold > 0 AS eligible, gold, retrieved, hits, CASE WHEN gold > 0 THEN round(hits / gold, 6) ELSE -1.0 END AS session_recall, CASE WHEN gold > 0 THEN round(CAST(coalesce(1.0 / first, 0.0) AS DOUBLE), 6) ELSE -1.0 END AS rr,
+  CASE WHEN gold > 0 THEN round(CASE WHEN least(gold, retrieved) > 0 THEN dcg / {DCG('least(gold, retrieved)')} ELSE 0.0 END, 6) ELSE -1.0 END AS ndcg, CASE WHEN gold > 0 THEN CAST(hits > 0 AS INTEGER) ELSE -1 END AS session_hit FROM a"""
 
 
 def memory_effect(spark: SparkSession, d: str) -> DataFrame:
