@@ -191,6 +191,9 @@ def resolver(width: int, gram: int):
         many = np.bincount(kind, minlength=len(first))
         twins = np.flatnonzero(np.bincount(kind, x.copies[live], len(first)) > 1)
         at, depth = np.concatenate([at, twins]), np.concatenate([depth, x.left[first[twins]]])
+        # twins may have all before the anchor in common with another too; listed twice, a suffix would be its own copy
+        pair, _ = classes(at, depth)
+        at, depth = at[pair], depth[pair]
         # every place where a repeat can start, for every context
         members = np.argsort(kind, kind="stable")
         start_of = np.cumsum(many) - many

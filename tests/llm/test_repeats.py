@@ -110,3 +110,17 @@ def test_many_copies_of_a_text(spark):
     for dedup, size in ((suffix_dedup.dedup_bytes, len(text)), (block_dedup.dedup_words, 600)):
         got = {(x["n"], x["removed"]): x["count"] for x in dedup(df).groupBy("n", "removed").count().collect()}
         assert got[size, size] >= 10_000 and sum(got.values()) == 10_002
+
+
+def test_a_passage_shorter_than_the_width_that_begins_texts_and_stands_in_another(spark):
+    """What begins two texts and stands inside a third is no repeat as long as it is shorter than the width."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    cases = [(400, 100, text(380)), (60, 15, text(55)), (60, 15, ("und " * 14)[:55])]
+    for width, gram, passage in cases:
+        texts = [passage + "x" + text(2 * width), passage + "y" + text(2 * width), text(2 * width) + "z" + passage + "z" + text(width)]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = rows(suffix_dedup.dedup_bytes(df, width=width, gram=gram))
+        want = brute([t.encode() for t in texts], width, bytes)
+        assert [x[1] for x in want] == [0, 0, 0]
+        assert [got[i] for i in range(len(texts))] == [[x] for x in want]
