@@ -191,7 +191,7 @@ COSINE_TOPK = f"WITH {DENSE} SELECT query_id, slot AS vec_id, CAST(rank AS INTEG
 def two_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A dense list, and a second one by distance of ids, that meets it in part."""
     c, q = vectors(spark, d)
-    near = c.select("slot").join(q.select("query_id"), F.abs(F.col("slot") - F.col("query_id")) <= 15)
+    near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 15, F.col("query_id") + 15)).alias("slot")).join(c.select("slot"), "slot")
     other = near.select("query_id", "slot", (1.0 / (1.0 + F.abs(F.col("slot") - F.col("query_id")))).alias("score"))
     return rerank.dense_search(c, q, 20).select("query_id", "slot", "score"), other
 

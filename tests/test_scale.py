@@ -38,3 +38,7 @@ def test_dense_search_in_blocks(spark, monkeypatch):
     odd = c.unionByName(spark.createDataFrame([(500, [float("nan"), 1.0]), (501, [None, 1.0]), (502, [1e200, 1.0])], c.schema))
     asked = q.unionByName(spark.createDataFrame([(40, None), (41, [float("inf"), 1.0])], q.schema))
     same(rerank.dense_search(odd, asked, 405), plain_dense(odd, asked, 405), "query_id", "slot", "score", "rank")
+
+
+def test_second_list_is_met_by_ids(spark):
+    assert "NestedLoop" not in plan(registered.two_lists(spark, "/root/testdata/sf0.001")[1])
