@@ -42,3 +42,7 @@ def test_dense_search_in_blocks(spark, monkeypatch):
 
 def test_second_list_is_met_by_ids(spark):
     assert "NestedLoop" not in plan(registered.two_lists(spark, "/root/testdata/sf0.001")[1])
+
+
+def test_norms_of_a_list_need_no_loop(spark):
+    assert "NestedLoop" not in plan(registered.minmax_norm(spark, "/root/testdata/sf0.001"))
