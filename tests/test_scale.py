@@ -46,3 +46,21 @@ def test_second_list_is_met_by_ids(spark):
 
 def test_norms_of_a_list_need_no_loop(spark):
     assert "NestedLoop" not in plan(registered.minmax_norm(spark, "/root/testdata/sf0.001"))
+
+
+def test_short_patterns_are_looked_up_in_words(spark, monkeypatch):
+    from marlweave.operators import containment
+
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcé한\U0001f600") for _ in range(r.randint(1, n)))
+    texts = [(i, r.choice([" ", "\n\t", "  "]).join(word(40) for _ in range(r.randint(0, 9)))) for i in range(80)] + [(90, None), (91, "")]
+    patterns = [(i, word(4)) for i in range(60)] + [(100 + i, f"{word(3)} {word(2)}") for i in range(40)] + [(200 + i, t[-20:]) for i, t in texts if t]
+    patterns += [(400 + i, t.split()[0][1:30]) for i, t in texts if t] + [(500, "\n\t"), (501, " "), (502, "a "), (503, " a")]
+    calls = []
+    met = containment._met
+    monkeypatch.setattr(containment, "_met", lambda t, p, *a: calls.append(sorted(x["pattern"] for x in p.collect())) or met(t, p, *a))
+    got = containment.contained(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(patterns, "pattern_id long, pattern string")).collect()
+    want = sorted((t, p) for t, x in texts for p, y in patterns if x is not None and y and y in x)
+    assert sorted((g["text_id"], g["pattern_id"]) for g in got) == want and len(want) > 200
+    # pairs of characters are common: only blanks are looked up by them
+    assert all(not p.strip() or len(p.split()) > 2 for c in calls for p in c)
