@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import lexical, rerank
+from ..operators.containment import only
 from ..sources import tables
 from ..sources.scratch import kept
 from . import sql
 
+#: Characters of the texts whose pairs a task counts.
+PAIRS_OF = 8_000_000
 R6 = lambda c: F.round(c, 6)
 
 
@@ -49,7 +52,11 @@ QUERY_TERMS = f"WITH qs AS (SELECT item_id AS query_id, {sql.qtok(chr(39) + 'Wha
 
 
 def token_bigrams(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select(F.explode(text.pairs(F.col("body_tokens"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    c = tables.chunks(spark, d).select("text")
+    size = c.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    # a task counts the pairs of so many texts before they are shuffled, and holds them meanwhile
+    spread = c.repartition(max(1, -(-size // PAIRS_OF))).select(text.tokens("text").alias("t"))
+    return spread.select(F.explode(text.pairs(F.col("t"))).alias("pair")).groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 TOKEN_BIGRAMS = f"WITH {sql.DOCS}, p AS (SELECT unnest({sql.pairs('b')}) AS pair FROM docs) SELECT pair, count(*) AS n FROM p GROUP BY pair HAVING count(*) > 1"
@@ -82,7 +89,7 @@ IDF_TABLE = f"WITH {sql.DOCS}, {sql.POSTINGS}, {sql.STATS}, d AS (SELECT term, c
 
 
 def bm25(spark: SparkSession, d: str, **how) -> DataFrame:
-    hits = lexical.top_k(lexical.bm25(docs(spark, d), tables.questions(spark, d), **how), 20)
+    hits = lexical.best(lexical.texts(tables.chunks(spark, d)), tables.questions(spark, d), 20, fielded=False, **how)
     return hits.select("query_id", F.col("slot").alias("doc_id"), "rank", R6("score").alias("score"))
 
 
@@ -91,7 +98,7 @@ def top20(ctes: str) -> str:
 
 
 def bm25f_topk(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.top_k(lexical.bm25f(docs(spark, d), tables.questions(spark, d)), 20)
+    hits = lexical.best(lexical.texts(tables.chunks(spark, d)), tables.questions(spark, d), 20)
     return hits.select("query_id", F.col("slot").alias("doc_id"), "rank", R6("score").alias("score"))
 
 
@@ -107,13 +114,17 @@ FROM (SELECT doc_id, doc_id AS pos FROM labels UNION ALL SELECT doc_id, doc_id +
 
 def frontier(spark: SparkSession, d: str, prefix: str = "") -> tuple[DataFrame, DataFrame, DataFrame]:
     c, q = tables.chunks(spark, d), tables.questions(spark, d, prefix)
-    pool = lexical.top_k(lexical.coordinate(lexical.bm25f(kept(lexical.tokenized(c), "tokens"), q)), 40).select("query_id", "slot", "score", "rank")
-    return pool, q, c
+    return kept(lexical.best(lexical.texts(c), q, 40, coordinated=True), "frontier"), q, c
+
+
+def near(pool: DataFrame, q: DataFrame, c: DataFrame) -> DataFrame:
+    """The questions and texts of a frontier; only its own texts are shuffled."""
+    return pool.join(q, "query_id").join(kept(only(c.select("slot", "title", "text"), pool, "slot"), "frontier-texts"), "slot")
 
 
 def bigram_fraction(spark: SparkSession, d: str) -> DataFrame:
     pool, q, c = frontier(spark, d)
-    rows = pool.join(q, "query_id").join(c.select("slot", "title", "text"), "slot").withColumns({"q": text.query_tokens("question"), "t": text.tokens(F.concat_ws(" ", "title", "text"))})
+    rows = near(pool, q, c).withColumns({"q": text.query_tokens("question"), "t": text.tokens(F.concat_ws(" ", "title", "text"))})
     return rows.select("query_id", F.col("slot").alias("doc_id"), R6(text.pair_fraction(F.col("q"), F.col("t"))).alias("fraction"))
 
 
@@ -148,7 +159,7 @@ SELECT query_id, slot AS doc_id, CAST(row_number() OVER (PARTITION BY query_id O
 
 def surface_score(spark: SparkSession, d: str) -> DataFrame:
     pool, q, c = frontier(spark, d)
-    rows = pool.join(q, "query_id").join(c.select("slot", "title", "text"), "slot")
+    rows = near(pool, q, c)
     return rows.select("query_id", F.col("slot").alias("doc_id"), R6(text.surface_score("question", "title", "text")).alias("surface"))
 
 

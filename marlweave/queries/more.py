@@ -96,8 +96,8 @@ SELECT query_id, gold > 0 AS eligible, gold, retrieved, hits, CASE WHEN gold > 0
 
 def memory_effect(spark: SparkSession, d: str) -> DataFrame:
     """Recall of ranking by fields against that of bodies alone, apart for passages with a hit document of even id."""
-    q = tables.qrels(spark, d)
-    rows = metrics.memory_effect(metrics.per_query(state.ranked(spark, d, False), q), metrics.per_query(state.ranked(spark, d), q), q.where("doc % 2 = 0"), "recall")
+    q, c = tables.qrels(spark, d), state.counts(spark, d)
+    rows = metrics.memory_effect(metrics.per_query(state.ranked(spark, d, False, c), q), metrics.per_query(state.ranked(spark, d, True, c), q), q.where("doc % 2 = 0"), "recall")
     return rows.select("covered", "n", *[R6(c).alias(c) for c in ("cold", "warm", "delta")])
 
 
@@ -154,7 +154,7 @@ def store_search(spark: SparkSession, d: str) -> DataFrame:
     store.compact()
     store.delete_chunks(labels.where("toxic = 1"))
     store.remember("zzmemory", labels.where("quality = 1"))
-    hits = lexical.top_k(lexical.bm25f(store.view().index(), tables.questions(spark, d, "zzmemory revised ")), 20)
+    hits = lexical.best(store.view().searched(), tables.questions(spark, d, "zzmemory revised "), 20)
     return hits.select("query_id", F.col("slot").alias("doc_id"), "rank", R6("score").alias("score"))
 
 

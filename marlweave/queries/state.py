@@ -23,8 +23,8 @@ def feedback(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feedback_bm25f(spark: SparkSession, d: str) -> DataFrame:
-    docs = kept(lexical.tokenized(tables.chunks(spark, d), feedback(spark, d)), "tokens")
-    hits = lexical.top_k(lexical.bm25f(docs, tables.questions(spark, d, "zzmemory ")), 20)
+    docs = lexical.texts(tables.chunks(spark, d), feedback(spark, d))
+    hits = lexical.best(docs, tables.questions(spark, d, "zzmemory "), 20)
     return hits.select("query_id", F.col("slot").alias("doc_id"), "rank", R6("score").alias("score"))
 
 
@@ -41,8 +41,8 @@ SELECT query_id, slot AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6)
 
 
 def evidence_only_idf(spark: SparkSession, d: str) -> DataFrame:
-    docs = kept(lexical.tokenized(tables.chunks(spark, d), feedback(spark, d)), "tokens")
-    stats = lexical.term_stats(lexical.postings(docs)).where("dfe > 0").crossJoin(F.broadcast(lexical.field_stats(docs)))
+    said = kept(feedback(spark, d), "feedback")
+    stats = lexical.memory_stats(lexical.texts(tables.chunks(spark, d), said), said)
     return stats.select("term", "df", "dfe", R6(lexical.idf(F.col("n"), F.coalesce(F.nullif("df", F.lit(0)), "dfe"))).alias("idf"))
 
 
@@ -187,10 +187,14 @@ def windowed_events(spark: SparkSession, d: str) -> DataFrame:
 WINDOWED = "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL"
 
 
-def ranked(spark: SparkSession, d: str, fielded: bool = True) -> DataFrame:
-    docs = kept(lexical.tokenized(tables.chunks(spark, d)), "tokens")
-    scores = (lexical.bm25f if fielded else lexical.bm25)(docs, tables.questions(spark, d))
-    return lexical.top_k(scores, 20).select("query_id", F.col("slot").alias("doc"), "rank")
+def ranked(spark: SparkSession, d: str, fielded: bool = True, counts: lexical.Counted | None = None) -> DataFrame:
+    hits = lexical.best(lexical.texts(tables.chunks(spark, d)), tables.questions(spark, d), 20, fielded=fielded, counts=counts)
+    return kept(hits.select("query_id", F.col("slot").alias("doc"), "rank"), "ranked")
+
+
+def counts(spark: SparkSession, d: str) -> lexical.Counted | None:
+    """Counts of the questions' terms, for rankings of more than one kind."""
+    return lexical.counted(lexical.texts(tables.chunks(spark, d)), tables.questions(spark, d))
 
 
 def per_query(spark: SparkSession, d: str) -> DataFrame:
@@ -219,8 +223,8 @@ SUMMARY = f'WITH {sql.BM25F}, {sql.top("scores", 20)}, {sql.QRELS}, {metric_ctes
 
 
 def head_to_head(spark: SparkSession, d: str) -> DataFrame:
-    q = tables.qrels(spark, d)
-    return metrics.head_to_head(metrics.per_query(ranked(spark, d), q), metrics.per_query(ranked(spark, d, False), q), "rr")
+    q, c = tables.qrels(spark, d), counts(spark, d)
+    return metrics.head_to_head(metrics.per_query(ranked(spark, d, True, c), q), metrics.per_query(ranked(spark, d, False, c), q), "rr")
 
 
 def turn_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marlweave.functions.vectors import cosine
-from marlweave.operators import dense, rerank
+from marlweave.operators import dense, rerank, scoring
+from marlweave.operators import lexical as ranking
 from marlweave.queries import lexical as registered
 
 
@@ -64,3 +65,67 @@ def test_short_patterns_are_looked_up_in_words(spark, monkeypatch):
     assert sorted((g["text_id"], g["pattern_id"]) for g in got) == want and len(want) > 200
     # pairs of characters are common: only blanks are looked up by them
     assert all(not p.strip() or len(p.split()) > 2 for c in calls for p in c)
+
+
+def corpus(spark, rows=200):
+    r = random.Random(11)
+    word = lambda: r.choice(["tree", "trees", "house", "river", "stone", "cat", "dog", "색상", "규정", "감사규정", "황갈색", "법", "x1", "of", "カナ漢字", "ties", "buses", "TREES", "naïves", "movies"])
+    text = lambda n: " ".join(word() for _ in range(r.randint(0, n)))
+    texts = [(i, text(3), text(r.choice([2, 5, 30]))) for i in range(rows)]
+    c = spark.createDataFrame(texts + [(rows + i, a, b) for i, a, b in texts[:40]], "slot long, title string, text string").repartition(7)
+    said = spark.createDataFrame([(r.randrange(rows), f"{text(4)} zz{r.randrange(3)}", i) for i in range(30)], "slot long, query string, seq long")
+    q = spark.createDataFrame([(i, text(6) + r.choice([" zz1", "", " nowhere"])) for i in range(40)] + [(90, ""), (91, None)], "query_id int, question string")
+    return ranking.texts(c, said), q
+
+
+def test_best_is_the_top_of_all_scores(spark, monkeypatch):
+    docs, q = corpus(spark)
+    index = ranking.Index.build(ranking._tokenized(docs))
+    monkeypatch.setattr(scoring, "QUESTIONS", 17)
+    monkeypatch.setattr(scoring, "BLOCK", 17 * 16)
+    monkeypatch.setattr(scoring, "BYTES", 100)
+    for fielded, coordinated, recover, multiplicity in ((True, True, True, True), (False, True, False, True), (False, False, True, False)):
+        scores = ranking.bm25f(index, q) if fielded else ranking.bm25(index, q, multiplicity=multiplicity)
+        want = ranking.top_k(ranking.coordinate(scores, recover) if coordinated else scores, 6)
+        for source in (docs, index) if fielded else (docs,):
+            got = ranking.best(source, q, 6, fielded=fielded, coordinated=coordinated, recover=recover, multiplicity=multiplicity)
+            same(got, want, "query_id", "slot", "score", "rank")
+    # pairs of question and chunk are not shuffled; slots that repeat go by the general way
+    text = plan(ranking.best(docs, q, 6))
+    assert "MapInArrow" in text and "Join" not in text
+    twice = docs.unionByName(docs.where("slot < 20"))
+    same(ranking.best(twice, q, 6), ranking.top_k(ranking.bm25f(ranking._tokenized(twice), q), 6), "query_id", "slot", "score", "rank")
+
+
+def test_words_of_a_term(spark):
+    from marlweave.functions.text import s_stem
+
+    r = random.Random(3)
+    words = sorted({"".join(r.choice("aesiouybt1") for _ in range(r.randint(1, 6))) for _ in range(3000)} | {"ties", "ies", "movies", "eies", "bus", "class", "oes"})
+    for row in spark.createDataFrame([(w,) for w in words], "w string").select("w", s_stem(F.col("w")).alias("s")).collect():
+        assert scoring.stem(row["w"]) == row["s"] and row["w"] in scoring.forms(row["s"]) or scoring.stem(row["s"]) != row["s"]
+
+
+def test_long_patterns_are_looked_up_where_a_text_lies(spark, monkeypatch):
+    from marlweave.operators import containment
+
+    r = random.Random(4)
+    line = lambda n: r.choice([" ", "\n", "\xa0", "  "]).join(r.choice(["ab", "b", "the", "é", "x-y"]) for _ in range(n))
+    texts = [(i, line(r.randint(0, 30))) for i in range(60)]
+    patterns = [(i, t[r.randint(0, 9) :][: r.randint(9, 25)]) for i, t in texts] + [(90, "the b none")]
+    args = spark.createDataFrame(texts, "text_id int, text string"), spark.createDataFrame(patterns, "pattern_id int, pattern string")
+    want = sorted((t, p) for t, x in texts for p, y in patterns if y and y in x)
+    calls, met = [], containment._met
+    monkeypatch.setattr(containment, "_met", lambda t, p, *a: calls.append(p.where("inner > 0").count()) or met(t, p, *a))
+    assert sorted((g["text_id"], g["pattern_id"]) for g in containment.contained(*args).collect()) == want and len(want) > 60
+    assert not any(calls)
+    monkeypatch.setattr(containment, "BROADCAST_CHARACTERS", 1)
+    assert sorted((g["text_id"], g["pattern_id"]) for g in containment.contained(*args).collect()) == want and any(calls)
+
+
+def test_pairs_are_counted_in_bounded_parts(spark, monkeypatch):
+    want = registered.token_bigrams(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(registered, "PAIRS_OF", 50_000)
+    got = registered.token_bigrams(spark, "/root/testdata/sf0.001")
+    assert int(plan(got).split("RoundRobinPartitioning(")[1].split(")")[0]) > 4
+    same(got, want, "pair", "n")
