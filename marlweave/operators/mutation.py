@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .containment import bounded
 from .numbering import numbered
 
+#: Slots, of eight bytes each, are broadcast up to so many, so that postings are not shuffled to drop some.
+SLOTS = 2_000_000
 CONTENT = ("title", "text", "entities", "embedding", "meta")
 
 
@@ -57,7 +60,7 @@ def result(changes: DataFrame) -> DataFrame:
 
 def overlay(base: DataFrame, overridden: DataFrame, delta: DataFrame) -> DataFrame:
     """Postings of a base table without overridden slots, and those of the delta."""
-    return base.join(overridden.select("slot"), "slot", "left_anti").unionByName(delta)
+    return base.join(bounded(overridden.select("slot").distinct(), SLOTS), "slot", "left_anti").unionByName(delta)
 
 
 def term_deltas(removed: DataFrame, added: DataFrame) -> DataFrame:

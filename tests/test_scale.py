@@ -129,3 +129,19 @@ def test_pairs_are_counted_in_bounded_parts(spark, monkeypatch):
     got = registered.token_bigrams(spark, "/root/testdata/sf0.001")
     assert int(plan(got).split("RoundRobinPartitioning(")[1].split(")")[0]) > 4
     same(got, want, "pair", "n")
+
+
+def test_postings_and_overlays_shuffle_no_postings(spark):
+    from marlweave.operators import mutation
+
+    docs = ranking._tokenized(corpus(spark, 60)[0])
+    plain = docs.select("slot", F.posexplode(F.array("title_tokens", "body_tokens", "memory_tokens")).alias("f", "t")).select("slot", "f", F.explode("t").alias("term"))
+    want = plain.groupBy("slot", "term").agg(*[F.sum((F.col("f") == k).cast("long")).alias(c) for k, c in enumerate(scoring.TIMES)])
+    got = ranking.postings(docs)
+    same(got, want, "slot", "term", *scoring.TIMES)
+    assert "hashpartitioning(slot" not in plan(got.select("term")) and got.dtypes == want.dtypes
+    over = mutation.overlay(got, docs.where("slot % 3 = 0").select("slot"), got.where("slot = 3"))
+    assert "SortMergeJoin" not in plan(over)
+    same(over, want.where("slot % 3 <> 0 OR slot = 3"), "slot", "term", *scoring.TIMES)
+    twice = docs.unionByName(docs)
+    same(ranking.postings(twice), want.select("slot", "term", *[(2 * F.col(c)).alias(c) for c in scoring.TIMES]), "slot", "term", *scoring.TIMES)
